@@ -1,14 +1,20 @@
-"""Portuguese suffix stemmer (the published Snowball rules) as native array columns.
+"""Portuguese suffix stemmer (the published Snowball rules) for word arrays and word columns.
 
-Each rule step is one ``transform`` over the array, whose elements carry the word and its region
-marks. A step therefore reads values the step before computed once, and the whole stemmer stays a
-narrow projection: no Python worker, no join, no shuffle.
+Spark has no stemmer. The rules are a small Python function here; what feeds it is Arrow. A batch of
+word arrays is dictionary-encoded, each distinct word of the batch is stemmed once, and the stems
+are put back by index. So the Python work grows with the distinct words of a task, not with its
+text, and the step stays narrow: no join with a vocabulary and no shuffle of words.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+from functools import lru_cache
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Vowels and suffix lists of the published algorithm, with ã and õ written a~ and o~.
 VOWELS = "aeiouáéíóúâêô"
@@ -40,152 +46,101 @@ STEP2_DELETE = (
 STEP4_DELETE = "os a i o á í ó".split()
 
 V, N = f"[{VOWELS}]", f"[^{VOWELS}]"
-# What lies before each region; the region itself is the remainder. Where a region is not found the
-# last branch takes the whole word, which leaves the empty region the rules ask for.
-BEFORE_R1 = f"^(?:{N}*{V}+{N}|.*)"
-BEFORE_R2 = f"^(?:{N}*{V}+{N}{N}*{V}+{N}|.*)"
-BEFORE_RV = f"^(?:.{N}+{V}|{V}{{2,}}{N}|{N}{V}.|.*)"
 STEP1_ALL = (
     STEP1_DELETE + STEP1_LOG + STEP1_U + STEP1_ENTE + STEP1_AMENTE
     + STEP1_MENTE + STEP1_IDADE + STEP1_IVO + STEP1_IRA
 )
-
-
-def _suffix_length(word: Column, suffixes: list[str]) -> Column:
-    """Length of the longest listed suffix, 0 for none.
-
-    One set lookup per suffix length, which costs far less than one regular expression over the
-    whole list. A word shorter than a length gives its whole self, which no list of that length holds.
-    """
-    found = F.lit(0)
-    for size in sorted({len(s) for s in suffixes}):
-        listed = [s for s in suffixes if len(s) == size]
-        found = F.when(F.substring(word, -size, size).isin(listed), F.lit(size)).otherwise(found)
-    return found
-
-
-def _region_start(word: Column, before: str) -> Column:
-    return F.length(word) - F.length(F.regexp_replace(word, before, ""))
-
-
-def _cut(word: Column, n) -> Column:
-    return word.substr(F.lit(1), F.length(word) - n)
-
-
-def _behind(word: Column, start: Column) -> Column:
-    return word.substr(start + 1, F.length(word))
-
-
-def _drop_after(word: Column, start: Column, pattern: str) -> Column:
-    """Delete a suffix only where it lies wholly behind ``start``."""
-    return F.concat(
-        word.substr(F.lit(1), start), F.regexp_replace(_behind(word, start), pattern, "")
-    )
-
-
-def _mark(word: Column) -> Column:
-    return F.struct(
-        word.alias("w"),
-        F.length(word).alias("size"),
-        _region_start(word, BEFORE_RV).alias("rv"),
-        _suffix_length(word, STEP1_ALL).alias("cut"),
-    )
-
-
-def _split_suffix(s: Column) -> Column:
-    """Cut the longest step 1 suffix; only then are the regions R1 and R2 worth finding."""
-    word, has = s["w"], s["cut"] > 0
-    return F.struct(
-        word.alias("w"),
-        s["rv"].alias("rv"),
-        (s["size"] - s["cut"]).alias("start"),
-        F.when(has, _cut(word, s["cut"])).alias("base"),
-        F.when(has, _behind(word, s["size"] - s["cut"])).alias("suffix"),
-        F.when(has, _region_start(word, BEFORE_R1)).alias("r1"),
-        F.when(has, _region_start(word, BEFORE_R2)).alias("r2"),
-    )
-
-
-def _step1(s: Column) -> Column:
-    word, base, suffix, start = s["w"], s["base"], s["suffix"], s["start"]
-    changed = (
-        F.when(suffix.isNull(), word)
-        .when(
-            suffix.isin(STEP1_AMENTE),
-            F.when(start >= s["r1"], _drop_after(base, s["r2"], AFTER_AMENTE)).otherwise(word),
-        )
-        .when(
-            suffix.isin(STEP1_IRA),
-            F.when((start >= s["rv"]) & base.endswith("e"), F.concat(base, F.lit("ir"))).otherwise(word),
-        )
-        .when(start < s["r2"], word)
-        .when(suffix.isin(STEP1_LOG), F.concat(base, F.lit("log")))
-        .when(suffix.isin(STEP1_U), F.concat(base, F.lit("u")))
-        .when(suffix.isin(STEP1_ENTE), F.concat(base, F.lit("ente")))
-        .when(suffix.isin(STEP1_MENTE), _drop_after(base, s["r2"], AFTER_MENTE))
-        .when(suffix.isin(STEP1_IDADE), _drop_after(base, s["r2"], AFTER_IDADE))
-        .when(suffix.isin(STEP1_IVO), _drop_after(base, s["r2"], AFTER_IVO))
-        .otherwise(base)
-    )
-    done = changed != word
-    return F.struct(
-        changed.alias("w"),
-        s["rv"].alias("rv"),
-        done.alias("done"),
-        F.when(~done, _behind(word, s["rv"])).alias("tail"),
-    )
-
-
-def _find_verb_suffix(s: Column) -> Column:
-    cut = F.when(s["done"], F.lit(0)).otherwise(_suffix_length(s["tail"], STEP2_DELETE))
-    return F.struct(s["w"].alias("w"), s["rv"].alias("rv"), s["done"].alias("done"), cut.alias("cut"))
-
-
-def _step2(s: Column) -> Column:
-    word = F.when(s["cut"] > 0, _cut(s["w"], s["cut"])).otherwise(s["w"])
-    return F.struct(
-        word.alias("w"), s["rv"].alias("rv"), (s["done"] | (s["cut"] > 0)).alias("done")
-    )
-
-
-def _steps3_and_4(s: Column) -> Column:
-    word, tail = s["w"], _behind(s["w"], s["rv"])
-    soft_c = word.endswith("ci") & (F.length(word) > s["rv"])
-    cut = (
-        F.when(~s["done"], _suffix_length(tail, STEP4_DELETE))
-        .when(soft_c, F.lit(1))
-        .otherwise(F.lit(0))
-    )
-    return F.struct(_cut(word, cut).alias("w"), s["rv"].alias("rv"))
-
-
-def _step5(s: Column) -> Column:
-    word, rv = s["w"], s["rv"]
-    size = F.length(word)
-    final_e = F.substring(word, -1, 1).isin("e", "é", "ê") & (size > rv)
-    hard = F.substring(word, -3, 2).isin("gu", "ci") & (size - 1 > rv)
-    return (
-        F.when(final_e & hard, _cut(word, 2))
-        .when(final_e, _cut(word, 1))
-        .when(word.endswith("ç"), F.concat(_cut(word, 1), F.lit("c")))
-        .otherwise(word)
-    )
-
-
-def stem_words(words: Column) -> Column:
-    """Stem every element of an array of lower-case words; order and length are kept."""
-    marked = F.transform(
-        words,
-        lambda w: F.replace(F.replace(w, F.lit("ã"), F.lit("a~")), F.lit("õ"), F.lit("o~")),
-    )
-    for step in (_mark, _split_suffix, _step1, _find_verb_suffix, _step2, _steps3_and_4, _step5):
-        marked = F.transform(marked, step)
-    return F.transform(
-        marked,
-        lambda w: F.replace(F.replace(w, F.lit("a~"), F.lit("ã")), F.lit("o~"), F.lit("õ")),
-    )
-
-
-def stem_word(word: Column) -> Column:
+# Words a worker remembers between batches.
+CACHED_WORDS = 200_000
+
+
+def _ending(suffixes: list[str]) -> re.Pattern:
+    # Searching from the left for an alternative anchored at the end finds the longest suffix.
+    return re.compile("(?:" + "|".join(suffixes) + ")$")
+
+
+# What lies before a region; the region is the remainder.
+_BEFORE_R1 = re.compile(f"{N}*{V}+{N}")
+_BEFORE_RV = re.compile(f".{N}+{V}|{V}{V}+{N}|{N}{V}.")
+_STEP1 = _ending(STEP1_ALL)
+_STEP2 = _ending(STEP2_DELETE)
+_STEP4 = _ending(STEP4_DELETE)
+_FOLLOW_UPS = {
+    **{s: re.compile(AFTER_AMENTE) for s in STEP1_AMENTE},
+    **{s: re.compile(AFTER_MENTE) for s in STEP1_MENTE},
+    **{s: re.compile(AFTER_IDADE) for s in STEP1_IDADE},
+    **{s: re.compile(AFTER_IVO) for s in STEP1_IVO},
+}
+_REPLACEMENTS = {
+    **dict.fromkeys(STEP1_LOG, "log"), **dict.fromkeys(STEP1_U, "u"),
+    **dict.fromkeys(STEP1_ENTE, "ente"), **dict.fromkeys(STEP1_IRA, "ir"),
+}
+
+
+def _region(pattern: re.Pattern, word: str, start: int = 0) -> int:
+    found = pattern.match(word, start)
+    return found.end() if found else len(word)
+
+
+def _drop(pattern: re.Pattern, word: str, start: int) -> str:
+    """Delete a suffix that lies wholly behind ``start``."""
+    return word[:start] + pattern.sub("", word[start:]) if start < len(word) else word
+
+
+def _standard_suffix(word: str, r1: int, r2: int, rv: int) -> str:
+    found = _STEP1.search(word)
+    if not found:
+        return word
+    suffix, at = found.group(), found.start()
+    base = word[:at]
+    if suffix in STEP1_IRA:
+        allowed = at >= rv and base.endswith("e")
+    else:
+        allowed = at >= (r1 if suffix in STEP1_AMENTE else r2)
+    if not allowed:
+        return word
+    if suffix in _FOLLOW_UPS:
+        return _drop(_FOLLOW_UPS[suffix], base, r2)
+    return base + _REPLACEMENTS.get(suffix, "")
+
+
+@lru_cache(maxsize=CACHED_WORDS)
+def stem(word: str) -> str:
     """Stem one lower-case word."""
-    return F.get(stem_words(F.array(word)), F.lit(0))
+    before = word.replace("ã", "a~").replace("õ", "o~")
+    r1 = _region(_BEFORE_R1, before)
+    r2 = _region(_BEFORE_R1, before, r1)
+    rv = _region(_BEFORE_RV, before)
+    now = _standard_suffix(before, r1, r2, rv)
+    if now == before:
+        now = _drop(_STEP2, before, rv)
+    if now == before:
+        now = _drop(_STEP4, before, rv)
+    elif now.endswith("ci") and len(now) > rv:
+        now = now[:-1]
+    if now[-1:] in ("e", "é", "ê") and len(now) > rv:
+        hard = now[-3:-1] in ("gu", "ci") and len(now) - 1 > rv
+        now = now[:-2] if hard else now[:-1]
+    elif now.endswith("ç"):
+        now = now[:-1] + "c"
+    return now.replace("a~", "ã").replace("o~", "õ")
+
+
+def _stem_distinct(words: pa.Array) -> pa.Array:
+    coded = words.dictionary_encode()
+    return pa.array([stem(w) for w in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
+
+
+@F.arrow_udf(T.StringType())
+def stem_word(words: pa.Array) -> pa.Array:
+    """Stem a column of lower-case words."""
+    return _stem_distinct(words)
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def stem_words(arrays: pa.Array) -> pa.Array:
+    """Stem every word of a column of word arrays; order and length are kept."""
+    sizes = pc.fill_null(pc.list_value_length(arrays), 0)
+    ends = pc.cumulative_sum(sizes.cast(pa.int32()))
+    offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
+    return pa.ListArray.from_arrays(offsets, _stem_distinct(arrays.flatten()), mask=arrays.is_null())

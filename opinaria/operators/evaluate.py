@@ -156,9 +156,12 @@ def unanswered_head(
     df: DataFrame, key: str = "id", label: str = "label", prediction: str = "prediction",
     n: int = HEAD_SIZE,
 ) -> DataFrame:
-    """The raw answers to look at when nothing was answered; empty as soon as one row was."""
-    any_answer = F.max(F.col(prediction).isin(list(ANSWERED)).cast("int"))
-    first = df.select(key, label, prediction).orderBy(key).limit(n)
-    flag = df.agg(F.coalesce(any_answer, F.lit(0)).alias("_any")).filter("_any = 0")
-    # The flag is one row at most; joining on it keeps or drops the n rows as a whole.
-    return first.withColumn("_any", F.lit(0)).join(F.broadcast(flag), "_any", "left_semi").drop("_any")
+    """The raw answers to look at when nothing was answered; empty as soon as one row was.
+
+    Answered rows sort first, so the first n rows show whether there is one.
+    """
+    ok = F.coalesce(F.col(prediction).isin(list(ANSWERED)), F.lit(False)).alias("_ok")
+    first = df.select(key, label, prediction, ok).orderBy(F.desc("_ok"), key).limit(n)
+    # The window sees n rows at most.
+    any_answer = F.max("_ok").over(Window.partitionBy())
+    return first.withColumn("_any", any_answer).filter(~F.col("_any")).drop("_ok", "_any")

@@ -7,13 +7,14 @@ follows are lookups in the broadcast lexicon and one sum per text: no window ove
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinaria.functions.labels import label_from_compound
-from opinaria.functions.text import WHITESPACE, strip_whitespace
+from opinaria.functions.text import NOT_WHITESPACE, collapse_whitespace, strip_whitespace
 from opinaria.operators.dimension import MAX_BROADCAST_ROWS, lookup_join
 
 # The published constants and word lists of the context rules.
@@ -61,15 +62,28 @@ IDIOMS = {
 }
 
 
-def sentiment_words(text: Column) -> Column:
-    """White-space pieces in their own case, outer punctuation taken off unless too little is left."""
-    pieces = F.array_remove(F.split(strip_whitespace(text), WHITESPACE + "+"), "")
+# A word with its outer punctuation; it matches only where three characters or more are inside.
+_MARK = "[" + re.escape(PUNCTUATION) + "]"
+_INNER = "(?!" + _MARK + ")" + NOT_WHITESPACE
+PUNCTUATED = (
+    f"(?<!{NOT_WHITESPACE}){_MARK}*+({_INNER}{NOT_WHITESPACE}{{{SHORT_WORD - 1},}}{_INNER})"
+    f"{_MARK}*(?!{NOT_WHITESPACE})"
+)
+# A word of capitals: an upper-case letter, and no letter of lower or title case. The parts cannot
+# give characters back, so a long word is read once.
+_SMALL = r"\p{Ll}\p{Lt}ªº\s\x1c-\x1f\x85\p{Z}"
+CAPITAL_WORD = rf"[^{_SMALL}\p{{Lu}}]*+\p{{Lu}}[^{_SMALL}]*+"
+EACH_CAPITAL_WORD = f"(?<!{NOT_WHITESPACE}){CAPITAL_WORD}(?!{NOT_WHITESPACE})"
 
-    def bare(piece: Column) -> Column:
-        core = F.btrim(piece, F.lit(PUNCTUATION))
-        return F.when(F.length(core) <= SHORT_WORD, piece).otherwise(core)
 
-    return F.transform(pieces, bare)
+def bare_text(text: Column) -> Column:
+    """Words in their own case, one space apart, outer punctuation taken off unless two characters
+    or fewer are left."""
+    return F.regexp_replace(collapse_whitespace(text), PUNCTUATED, "$1")
+
+
+def _pieces(bare: Column) -> Column:
+    return F.array_remove(F.split(bare, " "), "")
 
 
 def compound_score(total: Column) -> Column:
@@ -88,8 +102,8 @@ def plain_scores(
 
     ``lexicon`` is (term, valence) with lower-case terms, each once.
     """
-    words = texts.select(key, F.explode_outer(sentiment_words(F.col(text))).alias("word"))
-    rows = words.select(key, F.lower("word").alias("term"))
+    words = _pieces(F.lower(bare_text(F.col(text))))
+    rows = texts.select(key, F.explode_outer(words).alias("term"))
     found = lookup_join(rows, lexicon, ["term"], "left", known_rows=_lexicon_size(lexicon))
     sums = found.groupBy(key).agg(F.sum(F.coalesce("valence", F.lit(0.0))).alias("total"))
     return sums.select(key, compound_score(F.col("total")).alias("compound"))
@@ -116,43 +130,39 @@ def emoji_as_words(text: Column, descriptions: Mapping[str, str]) -> Column:
 
 
 def _is_capitals(word: Column) -> Column:
-    return (F.upper(word) == word) & (F.lower(word) != word)
+    return word.rlike(f"^{CAPITAL_WORD}$")
 
 
 def _word_rows(texts: DataFrame, key: str, text: str, descriptions: Mapping[str, str]) -> DataFrame:
-    """One row per word with its neighbours and the marks of its text; one row for an empty text."""
-    said = texts.select(key, strip_whitespace(emoji_as_words(F.col(text), descriptions)).alias("said"))
+    """One row per word with its neighbours and the marks of its text; one row for an empty text.
 
-    def in_context(words: Column) -> Column:
-        capitals = F.size(F.filter(words, _is_capitals))
-        mixed = (capitals > 0) & (capitals < F.size(words))
-        but = F.array_position(F.transform(words, F.lower), "but")
-
-        def context(word: Column, i: Column) -> Column:
-            def at(step: int) -> Column:
-                return F.get(words, i + step)
-
-            return F.struct(
-                F.lower(word).alias("term"),
-                _is_capitals(word).alias("caps"),
-                *[F.lower(at(-s)).alias(f"p{s}") for s in (1, 2, 3)],
-                *[_is_capitals(at(-s)).alias(f"caps{s}") for s in (1, 2, 3)],
-                *[F.lower(at(s)).alias(f"n{s}") for s in (1, 2)],
-                (i + 1).alias("at"),
-            )
-
-        return F.struct(
-            mixed.alias("mixed"), but.alias("but"), F.transform(words, context).alias("words")
-        )
-
-    # The word array is bound once; every neighbour is then one array access.
-    bound = F.get(F.transform(F.array(sentiment_words(F.col("said"))), in_context), F.lit(0))
-    marked = said.select(key, _emphasis(F.col("said")).alias("emphasis"), bound.alias("doc"))
+    The neighbours are the same array zipped with itself, shifted, so no function runs per word.
+    """
+    said = texts.select(key, strip_whitespace(emoji_as_words(F.col(text), descriptions)).alias("said"))
+    bare = said.select(key, _emphasis(F.col("said")).alias("emphasis"), bare_text(F.col("said")).alias("bare"))
+    words = bare.select(
+        key, "emphasis",
+        F.regexp_count("bare", F.lit(EACH_CAPITAL_WORD)).alias("capitals"),
+        F.array_position(_pieces(F.lower("bare")), "but").alias("but"),
+        _pieces(F.col("bare")).alias("words"),
+    )
+    gap = F.lit(None).cast("string")
+    before = [F.concat(F.array(*[gap] * s), F.col("words")).alias(f"w{s}") for s in (1, 2, 3)]
+    after = [F.slice("words", s + 1, F.size("words") + 1).alias(f"a{s}") for s in (1, 2)]
+    marked = words.select(
+        key, "emphasis", "but", "words", *before, *after,
+        ((F.col("capitals") > 0) & (F.col("capitals") < F.size("words"))).alias("mixed"),
+    )
     rows = marked.select(
-        key, "emphasis", F.col("doc.mixed").alias("mixed"), F.col("doc.but").alias("but"),
-        F.explode_outer("doc.words").alias("_w"),
+        key, "emphasis", "mixed", "but",
+        F.posexplode_outer(F.arrays_zip("words", "w1", "w2", "w3", "a1", "a2")).alias("at", "_w"),
+    )
+    return rows.select(
+        key, "emphasis", "mixed", "but", (F.col("at") + 1).alias("at"),
+        F.lower("_w.words").alias("term"), F.col("_w.words").alias("word"),
+        *[F.col(f"_w.w{s}").alias(f"w{s}") for s in (1, 2, 3)],
+        *[F.col(f"_w.a{s}").alias(f"a{s}") for s in (1, 2)],
     )
-    return rows.select(key, "emphasis", "mixed", "but", "_w.*")
 
 
 def _count(text: Column, character: str) -> Column:
@@ -168,8 +178,13 @@ def _emphasis(text: Column) -> Column:
     return marks + questions
 
 
+def _listed(word: Column, words: list[str]) -> Column:
+    """Whether a word is in a list, given as one literal instead of one per word."""
+    return F.find_in_set(word, F.lit(",".join(words))) > 0
+
+
 def _is_negation(word: Column) -> Column:
-    return word.isin(NEGATIONS) | word.contains("n't")
+    return _listed(word, NEGATIONS) | word.contains("n't")
 
 
 def _boost(word: Column, capitals: Column, valence: Column) -> Column:
@@ -177,35 +192,56 @@ def _boost(word: Column, capitals: Column, valence: Column) -> Column:
     sign = F.when(valence < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
     loud = F.when(capitals & F.col("mixed"), F.when(valence > 0, CAPITALS).otherwise(-CAPITALS)).otherwise(0.0)
     return (
-        F.when(word.isin(BOOSTERS), sign * BOOST + loud)
-        .when(word.isin(DAMPENERS), sign * DAMPEN + loud)
+        F.when(_listed(word, BOOSTERS), sign * BOOST + loud)
+        .when(_listed(word, DAMPENERS), sign * DAMPEN + loud)
         .otherwise(F.lit(0.0))
     )
 
 
-def _negated(step: int, valence: Column) -> Column:
+def _negated(step: Column, valence: Column) -> Column:
     p1, p2, p3 = F.col("p1"), F.col("p2"), F.col("p3")
     flipped = valence * NEGATION
-    if step == 1:
-        return F.when(_is_negation(p1), flipped).otherwise(valence)
-    if step == 2:
-        return (
-            F.when((p2 == "never") & p1.isin("so", "this"), valence * NEVER_SO)
-            .when((p2 == "without") & (p1 == "doubt"), valence)
-            .when(_is_negation(p2), flipped)
-            .otherwise(valence)
-        )
-    return (
+    first = F.when(_is_negation(p1), flipped).otherwise(valence)
+    second = (
+        F.when((p2 == "never") & p1.isin("so", "this"), valence * NEVER_SO)
+        .when((p2 == "without") & (p1 == "doubt"), valence)
+        .when(_is_negation(p2), flipped)
+        .otherwise(valence)
+    )
+    third = (
         F.when(((p3 == "never") & p2.isin("so", "this")) | p1.isin("so", "this"), valence * NEVER_SO)
         .when((p3 == "without") & ((p2 == "doubt") | (p1 == "doubt")), valence)
         .when(_is_negation(p3), flipped)
         .otherwise(valence)
     )
+    return F.when(step == 1, first).when(step == 2, second).otherwise(_idiomatic(third))
+
+
+def _with_neighbours(valence: Column, known) -> Column:
+    """Fold the three words before a sentiment word into its valence, nearest first.
+
+    A fold also keeps these rules out of the generated code of the joins around them, which would
+    otherwise grow past the size the JVM still compiles.
+    """
+    before = F.array(*[
+        F.struct(
+            F.lit(step).alias("step"), F.lit(fade).alias("fade"), F.col(f"p{step}").alias("word"),
+            F.col(f"caps{step}").alias("caps"), known(f"p{step}").alias("known"),
+        )
+        for step, fade in ((1, 1.0), (2, SECOND_WORD), (3, THIRD_WORD))
+    ])
+
+    def apply(value: Column, near: Column) -> Column:
+        boosted = value + near["fade"] * _boost(near["word"], near["caps"], value)
+        skipped = near["word"].isNull() | near["known"]
+        return F.when(skipped, value).otherwise(_negated(near["step"], boosted))
+
+    return F.when(valence.isNotNull(), F.aggregate(before, valence, apply))
 
 
 def _idiom(*words: Column) -> Column:
-    known = F.create_map(*[F.lit(x) for pair in IDIOMS.items() for x in pair])
-    return F.try_element_at(known, F.concat_ws(" ", *words))
+    known = F.str_to_map(F.lit(",".join(f"{k}:{v}" for k, v in IDIOMS.items())), F.lit(","), F.lit(":"))
+    return F.try_element_at(known, F.concat_ws(" ", *words)).cast("double")
 
 
 def _idiomatic(valence: Column) -> Column:
@@ -233,19 +269,25 @@ def context_scores(
     size = _lexicon_size(lexicon)
     rows = _word_rows(texts, key, text, emoji_descriptions or {})
     rows = lookup_join(rows, lexicon, ["term"], "left", known_rows=size)
+    # Everything below concerns sentiment words only. For other words it is null, which ends each
+    # lookup and each rule at once; the rows stay, because a text without any has a score too.
+    found = F.col("valence").isNotNull()
+    rows = rows.select(
+        key, "emphasis", "mixed", "but", "at", "term", "valence",
+        F.when(found, _is_capitals(F.col("word"))).alias("caps"),
+        *[F.when(found, F.lower(f"w{s}")).alias(f"p{s}") for s in (1, 2, 3)],
+        *[F.when(found, _is_capitals(F.col(f"w{s}"))).alias(f"caps{s}") for s in (1, 2, 3)],
+        *[F.when(found, F.lower(f"a{s}")).alias(f"n{s}") for s in (1, 2)],
+    )
     for near in ("p1", "p2", "p3", "n1"):
-        # Neighbours matter beside sentiment words only; a null key ends the lookup at once.
-        wanted = F.when(F.col("valence").isNotNull(), F.col(near))
-        flags = lexicon.select(F.col("term").alias("_near"), F.lit(True).alias(f"{near}_known"))
-        rows = lookup_join(
-            rows.withColumn("_near", wanted), flags, ["_near"], "left", known_rows=size
-        ).drop("_near")
+        flags = lexicon.select(F.col("term").alias(near), F.lit(True).alias(f"{near}_known"))
+        rows = lookup_join(rows, flags, [near], "left", known_rows=size)
 
     def known(near: str) -> Column:
         return F.coalesce(F.col(f"{near}_known"), F.lit(False))
 
     term, p1, p2, p3, v = (F.col(c) for c in ("term", "p1", "p2", "p3", "v"))
-    modifier = term.isin(BOOSTERS) | term.isin(DAMPENERS) | ((term == "kind") & (F.col("n1") == "of"))
+    modifier = _listed(term, BOOSTERS + DAMPENERS) | ((term == "kind") & (F.col("n1") == "of"))
     after_no = (p1 == "no") | (p2 == "no") | ((p3 == "no") & p1.isin("or", "nor"))
     rows = rows.withColumn(
         "v",
@@ -258,15 +300,7 @@ def context_scores(
     rows = rows.withColumn(
         "v", F.when(loud, v + F.when(v > 0, CAPITALS).otherwise(-CAPITALS)).otherwise(v)
     )
-    for step, fade in ((1, 1.0), (2, SECOND_WORD), (3, THIRD_WORD)):
-        word = F.col(f"p{step}")
-        applies = word.isNotNull() & ~known(f"p{step}")
-        rows = rows.withColumn(
-            "v",
-            F.when(applies, v + fade * _boost(word, F.col(f"caps{step}"), v)).otherwise(v),
-        ).withColumn("v", F.when(applies, _negated(step, v)).otherwise(v))
-        if step == 3:
-            rows = rows.withColumn("v", F.when(applies & v.isNotNull(), _idiomatic(v)).otherwise(v))
+    rows = rows.withColumn("v", _with_neighbours(v, known))
     least = (p1 == "least") & ~known("p1") & (p2.isNull() | ~p2.isin("at", "very"))
     rows = rows.withColumn("v", F.when(least, v * NEGATION).otherwise(v))
     place, but = F.col("at"), F.col("but")

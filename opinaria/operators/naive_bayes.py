@@ -9,7 +9,7 @@ once per document, which an array function settles inside the document's own row
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from opinaria.operators.dimension import lookup_join
 from opinaria.operators.tokens import MAX_FEATURES, term_rows, vocabulary
-from opinaria.sources.scratch import new_path
+from opinaria.sources.scratch import materialise
 
 # Additive smoothing, and the two model families that are trained.
 ALPHA = 1.0
@@ -244,11 +244,10 @@ def load_model(spark: SparkSession, path: str) -> NaiveBayesModel:
 
 
 def materialised(model: NaiveBayesModel) -> NaiveBayesModel:
-    """The same model backed by written tables, so that scoring does not repeat the training."""
-    spark = model.vocab.sparkSession
-    path = new_path(spark, f"model-{model.kind}")
-    save_model(model, path)
-    return load_model(spark, path)
+    """The same model with its weights written once, so that scoring does not repeat the training."""
+    return replace(
+        model, term_weights=materialise(model.term_weights.coalesce(1), f"weights-{model.kind}")
+    )
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:

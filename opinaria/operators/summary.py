@@ -4,17 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinaria.functions.labels import ALL_LABELS
+from opinaria.functions.text import clean_text
 
 
 def drop_empty(df: DataFrame, column: str = "texto") -> DataFrame:
-    """Rows whose cleaned text is not empty."""
+    """Rows whose text is neither null nor empty."""
     return df.filter(F.col(column) != "")
 
 
+def cleaned_rows(df: DataFrame, text: Column, *keep: str | Column) -> DataFrame:
+    """(keep…, texto): cleaned texts, empty ones dropped.
+
+    A filter on the cleaned column would be pushed below it and clean every text twice. Unnesting
+    a list of one or no text is not pushed, so each text is cleaned once.
+    """
+    some = F.array_remove(F.array(clean_text(text)), "")
+    return df.select(*keep, F.explode_outer(some).alias("texto")).filter(F.col("texto").isNotNull())
+
+
 def label_counts(df: DataFrame, column: str) -> DataFrame:
     """(label, n), most frequent first, equal counts by label; null labels are not counted."""
     return (

@@ -293,7 +293,11 @@ def lexicon_label(value: str) -> str:
 
 def context_compound(source: str, text: str, key: str = "id") -> str:
     """CTEs that end in context(key, compound): neighbours by window functions over word rows."""
-    up = "(upper({0}) = {0} AND lower({0}) <> {0})".format
+    small = r"[^\p{Ll}\p{Lt}ªº]"
+
+    def up(word):
+        return f"regexp_full_match({word}, '{small}*\\p{{Lu}}{small}*')"
+
     idioms = " ".join(f"WHEN {quoted(k)} THEN {v}::DOUBLE" for k, v in lexicon.IDIOMS.items())
 
     def idiom(*cols):

@@ -77,11 +77,11 @@ def post_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 def turn_texts(spark: SparkSession, sf: str) -> DataFrame:
     """(id, origem, texto): every turn as a cleaned text with an id of its own."""
     turns = read_table(spark, f"{sf}/conversations.parquet", "conv_id", "turn", "text")
-    return summary.drop_empty(turns.select(
+    return summary.cleaned_rows(
+        turns, F.col("text"),
         (F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
         F.when(F.col("turn") == 0, posts.TITLE).otherwise(posts.COMMENT).alias("origem"),
-        X.clean_text(F.col("text")).alias("texto"),
-    ))
+    )
 
 
 def responses_for(rows: DataFrame) -> DataFrame:
@@ -133,7 +133,7 @@ def word_valences(spark: SparkSession, sf: str) -> DataFrame:
 
     The valence is how much more a term belongs to the good class than to the other one.
     """
-    words = review_words(spark, sf)
+    words = materialise(review_words(spark, sf), "words")
     model = nb.fit(words, kind=nb.MULTINOMIAL, labels=REVIEW_CLASSES)
     weight = F.when(F.col("label") == "pos", F.col("weight")).otherwise(-F.col("weight"))
     gap = F.round(F.sum(weight), 1)
@@ -211,8 +211,7 @@ def normalise_alnum_lower(spark, sf):
 def drop_empty(spark, sf):
     # Only what stands in tags or addresses is left of a page here, so some texts are empty.
     kept = F.regexp_replace(F.col("html"), r"(?s)<body.*", "")
-    rows = pages(spark, sf).select("page_id", X.clean_text(kept).alias("texto"))
-    return summary.drop_empty(rows)
+    return summary.cleaned_rows(pages(spark, sf), kept, "page_id")
 
 
 @query

@@ -7,9 +7,8 @@ import posixpath
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
-from opinaria.functions.text import clean_text
 from opinaria.operators.row_ids import with_row_ids, with_row_ids_within
-from opinaria.operators.summary import drop_empty
+from opinaria.operators.summary import cleaned_rows
 from opinaria.sources.posts import MANUAL, checked_keyword
 
 # Separators, column names and file names of the exchanged files.
@@ -57,9 +56,7 @@ def read_reviews(
 
 def manual_texts(raw: DataFrame, text_column: str = TEXT_COLUMN) -> DataFrame:
     """(origem, texto) from raw comment rows, batch or stream: cleaned, empty texts dropped."""
-    return drop_empty(raw.select(
-        F.lit(MANUAL).alias("origem"), clean_text(F.col(f"`{text_column}`")).alias("texto")
-    ))
+    return cleaned_rows(raw, F.col(f"`{text_column}`"), F.lit(MANUAL).alias("origem"))
 
 
 def read_manual_texts(

@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from opinaria.functions.text import clean_text
-from opinaria.operators.summary import drop_empty
+from opinaria.operators.summary import cleaned_rows
 
 # Posts per search, comments per post, origin names.
 POST_LIMIT = 8
@@ -47,15 +46,15 @@ def first_comments(comments: DataFrame, limit: int = COMMENT_LIMIT) -> DataFrame
 
 
 def _as_texts(titles: DataFrame, comments: DataFrame) -> DataFrame:
-    title_rows = titles.filter(has_title(F.col("title"))).select(
+    title_rows = cleaned_rows(
+        titles.filter(has_title(F.col("title"))), F.col("title"),
         "post_id", F.lit(0).cast("bigint").alias("pos"), F.lit(TITLE).alias("origem"),
-        clean_text(F.col("title")).alias("texto"),
     )
-    comment_rows = comments.select(
+    comment_rows = cleaned_rows(
+        comments, F.col("body"),
         "post_id", F.col("pos").cast("bigint").alias("pos"), F.lit(COMMENT).alias("origem"),
-        clean_text(F.col("body")).alias("texto"),
     )
-    return drop_empty(title_rows.unionByName(comment_rows))
+    return title_rows.unionByName(comment_rows)
 
 
 def texts_of_posts(
