@@ -1,0 +1,41 @@
+"""The same vocabulary as Spark ML feature vectors, and the Gaussian variant fitted on them."""
+
+from __future__ import annotations
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import NaiveBayes
+from pyspark.ml.feature import CountVectorizerModel, IndexToString, StringIndexer
+from pyspark.sql import DataFrame
+
+from opinaria.operators.naive_bayes import GAUSSIAN
+from opinaria.operators.tokens import MAX_FEATURES
+
+
+def vocabulary_terms(vocab: DataFrame, max_features: int = MAX_FEATURES) -> list[str]:
+    """The terms in index order; a vocabulary has at most ``max_features``."""
+    return [r["term"] for r in vocab.orderBy("term_idx").limit(max_features).collect()]
+
+
+def term_vectors(
+    df: DataFrame, terms: list[str], words: str = "words", column: str = "features", *,
+    binary: bool = False,
+) -> DataFrame:
+    """Add sparse count (or presence) vectors over a fixed vocabulary."""
+    return CountVectorizerModel.from_vocabulary(terms, words, column).setBinary(binary).transform(df)
+
+
+def fit_gaussian(
+    training: DataFrame, terms: list[str], label: str = "label", words: str = "words"
+) -> PipelineModel:
+    """Gaussian Naive Bayes on term counts; classes in sorted order, so ties go to the first."""
+    indexer = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(training)
+    model = NaiveBayes(featuresCol="_x", labelCol="_y", predictionCol="_p", modelType=GAUSSIAN)
+    fitted = model.fit(indexer.transform(term_vectors(training, terms, words, "_x")))
+    vectors = CountVectorizerModel.from_vocabulary(terms, words, "_x")
+    back = IndexToString(inputCol="_p", outputCol="prediction", labels=indexer.labels)
+    return Pipeline(stages=[vectors, fitted, back]).fit(training)
+
+
+def predict_gaussian(texts: DataFrame, model: PipelineModel, key: str = "id") -> DataFrame:
+    """(key, prediction): a narrow pass over the texts."""
+    return model.transform(texts).select(key, "prediction")

@@ -186,6 +186,22 @@ def predictions(source: str, p: str = "") -> str:
     return "predictions AS (" + " UNION ALL ".join(parts) + ")"
 
 
+# Absent terms have count 0: their share of the score is the class constant ``c``.
+GAUSSIAN = """gnb_n AS (SELECT id, label, term, count(*) AS n FROM terms
+        WHERE term IN (SELECT term FROM vocab) GROUP BY id, label, term),
+    gnb_train AS (SELECT g.* FROM gnb_n g WHERE g.id IN (SELECT id FROM train)),
+    gnb_eps AS (SELECT 1e-9::DOUBLE * max(v) AS e FROM (SELECT sum(n * n)::DOUBLE / (SELECT count(*) FROM train)
+        - (sum(n)::DOUBLE / (SELECT count(*) FROM train)) ** 2 AS v FROM gnb_train GROUP BY term)),
+    gnb AS (SELECT label, term, log_prior, m, q - m * m + (SELECT e FROM gnb_eps) AS s2 FROM (
+        SELECT p.label, v.term, p.log_prior, coalesce(t.s, 0)::DOUBLE / p.n AS m, coalesce(t.ss, 0)::DOUBLE / p.n AS q
+        FROM priors p CROSS JOIN vocab v LEFT JOIN (SELECT label, term, sum(n) AS s, sum(n * n) AS ss
+            FROM gnb_train GROUP BY label, term) t ON t.label = p.label AND t.term = v.term)),
+    gnb_base AS (SELECT label, max(log_prior) - sum(0.5::DOUBLE * ln(2 * pi() * s2) + m * m / (2 * s2)) AS c
+        FROM gnb GROUP BY label),
+    gnb_scores AS (SELECT r.id, b.label, b.c + coalesce(sum((2 * g.n * w.m - g.n * g.n) / (2 * w.s2)), 0) AS score
+        FROM review_words r CROSS JOIN gnb_base b LEFT JOIN gnb_n g ON g.id = r.id
+        LEFT JOIN gnb w ON w.label = b.label AND w.term = g.term GROUP BY r.id, b.label, b.c)"""
+
 PLAIN_BAYES = REVIEW_WORDS + ", " + bayes()
 PLAIN_SCORES = PLAIN_BAYES + ", " + scored("mnb") + ", " + scored("bnb")
 TRAIN_VOCAB_SCORES = (
@@ -399,9 +415,7 @@ def oracle_sql() -> dict[str, str]:
     sql["normalise_alnum_lower"] = doc.format(
         f"lower({replaced(tags('text'), '[^\\p{L}\\p{N}]', ' ')})", "text"
     )
-    sql["drop_empty"] = "SELECT * FROM (" + page.format(
-        cleaned(r"regexp_replace(html, '(?s)<body.*', '', 'g')"), "texto"
-    ) + ") WHERE texto <> ''"
+    sql["drop_empty"] = "SELECT * FROM (" + page.format(cleaned("html"), "texto") + ") WHERE texto <> ''"
     sql["preview_180"] = f"""SELECT doc_id, CASE WHEN length(t) > 180 THEN substr(t, 1, 180) || '…' ELSE t END
         AS texto FROM (SELECT doc_id, {cleaned('text')} AS t FROM documents)"""
 
@@ -457,6 +471,7 @@ def oracle_sql() -> dict[str, str]:
     for name, kind in (("multinomial", "mnb"), ("bernoulli", "bnb")):
         sql[f"nb_{name}_weights"] = with_(PLAIN_BAYES) + f"SELECT label, term, round(weight, 6) AS weight FROM {kind}"
         sql[f"nb_{name}_scores"] = with_(PLAIN_SCORES) + f"SELECT id, label, score FROM {kind}_scores"
+    sql["nb_gaussian_predict"] = with_(PLAIN_BAYES, GAUSSIAN) + f"SELECT * FROM {best('gnb_scores')}"
     everything = "all_words AS (SELECT doc_id AS id, w FROM doc_words)"
     sql["nb_predict"] = with_(PLAIN_BAYES, everything, scored("bnb", "all_words")) + f"""
         SELECT id AS doc_id, prediction FROM {best('bnb_scores')}"""

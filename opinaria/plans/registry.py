@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from opinaria.functions import labels as L
 from opinaria.functions import text as X
 from opinaria.operators import evaluate as ev
-from opinaria.operators import external, lexicon, summary
+from opinaria.operators import external, lexicon, ml_models, summary
 from opinaria.operators import naive_bayes as nb
 from opinaria.operators import tokens as tk
 from opinaria.operators.row_ids import with_row_ids, with_row_ids_within
@@ -209,9 +209,7 @@ def normalise_alnum_lower(spark, sf):
 
 @query
 def drop_empty(spark, sf):
-    # Only what stands in tags or addresses is left of a page here, so some texts are empty.
-    kept = F.regexp_replace(F.col("html"), r"(?s)<body.*", "")
-    return summary.cleaned_rows(pages(spark, sf), kept, "page_id")
+    return summary.cleaned_rows(pages(spark, sf), F.col("html"), "page_id")
 
 
 @query
@@ -423,6 +421,14 @@ def nb_predict(spark, sf):
     return training.predict_texts(documents(spark, sf, "text"), model, key="doc_id", stem=False)
 
 
+@query
+def nb_gaussian_predict(spark, sf):
+    """The third family of models, on Spark ML vectors over the same vocabulary."""
+    words = materialise(review_words(spark, sf), "words")
+    terms = ml_models.vocabulary_terms(tk.vocabulary(words))
+    return ml_models.predict_gaussian(words, ml_models.fit_gaussian(split_train(words), terms))
+
+
 @query
 def nb_model_accuracy(spark, sf):
     done = training.train_and_evaluate(review_words(spark, sf), labels=REVIEW_CLASSES)
