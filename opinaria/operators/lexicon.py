@@ -214,7 +214,8 @@ def _negated(step: Column, valence: Column) -> Column:
         .when(_is_negation(p3), flipped)
         .otherwise(valence)
     )
-    return F.when(step == 1, first).when(step == 2, second).otherwise(_idiomatic(third))
+    last = F.when(F.col("phrase"), _idiomatic(third)).otherwise(third)
+    return F.when(step == 1, first).when(step == 2, second).otherwise(last)
 
 
 def _with_neighbours(valence: Column, known) -> Column:
@@ -272,11 +273,14 @@ def context_scores(
     # Everything below concerns sentiment words only. For other words it is null, which ends each
     # lookup and each rule at once; the rows stay, because a text without any has a score too.
     found = F.col("valence").isNotNull()
+    loud_near = found & F.col("mixed")
+    near_words = F.concat_ws(" ", *[F.lower(c) for c in ("w3", "w2", "w1", "word", "a1", "a2")])
     rows = rows.select(
         key, "emphasis", "mixed", "but", "at", "term", "valence",
-        F.when(found, _is_capitals(F.col("word"))).alias("caps"),
+        F.when(found, near_words.rlike("|".join((*IDIOMS, *DAMPENER_PAIRS)))).alias("phrase"),
+        F.when(loud_near, _is_capitals(F.col("word"))).alias("caps"),
         *[F.when(found, F.lower(f"w{s}")).alias(f"p{s}") for s in (1, 2, 3)],
-        *[F.when(found, _is_capitals(F.col(f"w{s}"))).alias(f"caps{s}") for s in (1, 2, 3)],
+        *[F.when(loud_near, _is_capitals(F.col(f"w{s}"))).alias(f"caps{s}") for s in (1, 2, 3)],
         *[F.when(found, F.lower(f"a{s}")).alias(f"n{s}") for s in (1, 2)],
     )
     for near in ("p1", "p2", "p3", "n1"):

@@ -82,18 +82,17 @@ def class_term_counts(
     rows = term_rows(
         training.filter(F.col(label).isin(list(labels))), label, words=words, distinct=per_document
     )
-    counted = (
-        lookup_join(rows, vocab.select("term"), ["term"], known_rows=max_features)
-        .groupBy("term")
-        .agg(*[F.count_if(F.col(label) == name).alias(f"n_{i}") for i, name in enumerate(labels)])
+    known = lookup_join(rows, vocab.select("term"), ["term"], known_rows=max_features)
+    # One row without a label per term: a term the training split never shows gets its zeros too.
+    unseen = vocab.select("term", F.lit(None).cast("string").alias(label))
+    counted = known.select("term", label).unionByName(unseen).groupBy("term").agg(
+        *[F.count_if(F.col(label) == name).alias(f"n_{i}") for i, name in enumerate(labels)]
     )
-    # Terms a training split never shows are in the vocabulary all the same.
-    whole = vocab.select("term").join(counted, "term", "left")
     per_class = F.array(*[
-        F.struct(F.lit(name).alias("label"), F.coalesce(F.col(f"n_{i}"), F.lit(0)).alias("n"))
+        F.struct(F.lit(name).alias("label"), F.col(f"n_{i}").alias("n"))
         for i, name in enumerate(labels)
     ])
-    return whole.select("term", F.inline(per_class)).select("label", "term", "n")
+    return counted.select("term", F.inline(per_class)).select("label", "term", "n")
 
 
 def multinomial_weights(counts: DataFrame, priors: DataFrame, alpha: float = ALPHA) -> DataFrame:

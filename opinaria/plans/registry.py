@@ -9,9 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from opinaria.functions import labels as L
 from opinaria.functions import text as X
@@ -133,12 +134,20 @@ def word_valences(spark: SparkSession, sf: str) -> DataFrame:
 
     The valence is how much more a term belongs to the good class than to the other one.
     """
-    words = materialise(review_words(spark, sf), "words")
-    model = nb.fit(words, kind=nb.MULTINOMIAL, labels=REVIEW_CLASSES)
-    weight = F.when(F.col("label") == "pos", F.col("weight")).otherwise(-F.col("weight"))
-    gap = F.round(F.sum(weight), 1)
-    learned = model.term_weights.filter(F.col("term") != nb.BASE_TERM).groupBy("term").agg(
-        F.greatest(F.lit(-4.0), F.least(F.lit(4.0), gap)).alias("valence")
+    counts = tk.term_rows(review_words(spark, sf), "label").groupBy("term").agg(
+        F.count("*").alias("n"),
+        *[F.count_if(F.col("label") == name).alias(name) for name in REVIEW_CLASSES],
+    )
+    # The windows see the top terms only.
+    everything = Window.partitionBy()
+
+    def share(name: str) -> Column:
+        total = F.sum(name).over(everything) + F.count("*").over(everything)
+        return F.log((F.col(name) + 1.0) / total)
+
+    gap = F.round(share("pos") - share("neg"), 1)
+    learned = tk.top_terms(counts).select(
+        "term", F.greatest(F.lit(-4.0), F.least(F.lit(4.0), gap)).alias("valence")
     )
     return materialise(learned, "lexicon")
 
