@@ -178,66 +178,63 @@ def _emphasis(text: Column) -> Column:
     return marks + questions
 
 
-def _listed(word: Column, words: list[str]) -> Column:
-    """Whether a word is in a list, given as one literal instead of one per word."""
-    return F.find_in_set(word, F.lit(",".join(words))) > 0
+def _direction(word: Column) -> Column:
+    """1 for a booster, -1 for a dampener, 0 for any other word."""
+    return F.when(word.isin(BOOSTERS), F.lit(1)).when(word.isin(DAMPENERS), F.lit(-1)).otherwise(F.lit(0))
 
 
 def _is_negation(word: Column) -> Column:
-    return _listed(word, NEGATIONS) | word.contains("n't")
+    return F.coalesce(word.isin(NEGATIONS) | word.contains("n't"), F.lit(False))
 
 
-def _boost(word: Column, capitals: Column, valence: Column) -> Column:
+def _boost(direction: Column, capitals: Column, valence: Column) -> Column:
     """What a booster or dampener adds, in the direction of the valence."""
     sign = F.when(valence < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
     loud = F.when(capitals & F.col("mixed"), F.when(valence > 0, CAPITALS).otherwise(-CAPITALS)).otherwise(0.0)
-    return (
-        F.when(_listed(word, BOOSTERS), sign * BOOST + loud)
-        .when(_listed(word, DAMPENERS), sign * DAMPEN + loud)
-        .otherwise(F.lit(0.0))
-    )
+    return F.when(direction == 0, F.lit(0.0)).otherwise(sign * BOOST * direction + loud)
 
 
-def _negated(step: Column, valence: Column) -> Column:
+def _negated(step: Column, negates: Column, valence: Column) -> Column:
     p1, p2, p3 = F.col("p1"), F.col("p2"), F.col("p3")
-    flipped = valence * NEGATION
-    first = F.when(_is_negation(p1), flipped).otherwise(valence)
+    plain = F.when(negates, valence * NEGATION).otherwise(valence)
     second = (
         F.when((p2 == "never") & p1.isin("so", "this"), valence * NEVER_SO)
         .when((p2 == "without") & (p1 == "doubt"), valence)
-        .when(_is_negation(p2), flipped)
-        .otherwise(valence)
+        .otherwise(plain)
     )
     third = (
         F.when(((p3 == "never") & p2.isin("so", "this")) | p1.isin("so", "this"), valence * NEVER_SO)
         .when((p3 == "without") & ((p2 == "doubt") | (p1 == "doubt")), valence)
-        .when(_is_negation(p3), flipped)
-        .otherwise(valence)
+        .otherwise(plain)
     )
     last = F.when(F.col("phrase"), _idiomatic(third)).otherwise(third)
-    return F.when(step == 1, first).when(step == 2, second).otherwise(last)
+    return F.when(step == 1, plain).when(step == 2, second).otherwise(last)
 
 
 def _with_neighbours(valence: Column, known) -> Column:
     """Fold the three words before a sentiment word into its valence, nearest first.
 
-    A fold also keeps these rules out of the generated code of the joins around them, which would
-    otherwise grow past the size the JVM still compiles.
+    Most sentiment words have no modifier near them and skip the fold. It also keeps these rules out
+    of the generated code of the joins around them, which would otherwise grow past the size the JVM
+    still compiles.
     """
     before = F.array(*[
         F.struct(
-            F.lit(step).alias("step"), F.lit(fade).alias("fade"), F.col(f"p{step}").alias("word"),
-            F.col(f"caps{step}").alias("caps"), known(f"p{step}").alias("known"),
+            F.lit(step).alias("step"), F.lit(fade).alias("fade"),
+            (F.col(f"p{step}").isNull() | known(f"p{step}")).alias("skipped"),
+            *[F.col(f"{name}{step}").alias(name) for name in ("caps", "direction", "negates")],
         )
         for step, fade in ((1, 1.0), (2, SECOND_WORD), (3, THIRD_WORD))
     ])
 
     def apply(value: Column, near: Column) -> Column:
-        boosted = value + near["fade"] * _boost(near["word"], near["caps"], value)
-        skipped = near["word"].isNull() | near["known"]
-        return F.when(skipped, value).otherwise(_negated(near["step"], boosted))
+        boosted = value + near["fade"] * _boost(near["direction"], near["caps"], value)
+        return F.when(near["skipped"], value).otherwise(_negated(near["step"], near["negates"], boosted))
 
-    return F.when(valence.isNotNull(), F.aggregate(before, valence, apply))
+    modified = F.col("phrase") | F.coalesce(F.col("p1").isin("so", "this"), F.lit(False))
+    for step in (1, 2, 3):
+        modified = modified | (F.col(f"direction{step}") != 0) | F.col(f"negates{step}")
+    return F.when(valence.isNotNull() & modified, F.aggregate(before, valence, apply)).otherwise(valence)
 
 
 def _idiom(*words: Column) -> Column:
@@ -283,6 +280,10 @@ def context_scores(
         *[F.when(loud_near, _is_capitals(F.col(f"w{s}"))).alias(f"caps{s}") for s in (1, 2, 3)],
         *[F.when(found, F.lower(f"a{s}")).alias(f"n{s}") for s in (1, 2)],
     )
+    rows = rows.withColumns({
+        f"{name}{s}": F.when(found, rule(F.col(f"p{s}")))
+        for s in (1, 2, 3) for name, rule in (("direction", _direction), ("negates", _is_negation))
+    })
     for near in ("p1", "p2", "p3", "n1"):
         flags = lexicon.select(F.col("term").alias(near), F.lit(True).alias(f"{near}_known"))
         rows = lookup_join(rows, flags, [near], "left", known_rows=size)
@@ -291,7 +292,7 @@ def context_scores(
         return F.coalesce(F.col(f"{near}_known"), F.lit(False))
 
     term, p1, p2, p3, v = (F.col(c) for c in ("term", "p1", "p2", "p3", "v"))
-    modifier = _listed(term, BOOSTERS + DAMPENERS) | ((term == "kind") & (F.col("n1") == "of"))
+    modifier = (_direction(term) != 0) | ((term == "kind") & (F.col("n1") == "of"))
     after_no = (p1 == "no") | (p2 == "no") | ((p3 == "no") & p1.isin("or", "nor"))
     rows = rows.withColumn(
         "v",
