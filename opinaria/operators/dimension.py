@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_BROADCAST_ROWS = 200_000
 SALTS = 32
+NULL_KEY_SALTS = 1 << 30
 
 
 def fits_broadcast(table: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
@@ -37,7 +40,10 @@ def lookup_join(
     columns = [c for c in facts.columns if c not in on]
     extra = [] if how in ("left_anti", "left_semi") else [c for c in lookup.columns if c not in on]
     # The salt follows from the row, so a recomputed task sends its rows to the same place again.
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int"))
+    # A null key matches nothing, so its rows need no copy to meet and are spread without a bound.
+    has_key = reduce(Column.__and__, [F.col(c).isNotNull() for c in on])
+    spread = F.when(has_key, F.lit(salts)).otherwise(F.lit(NULL_KEY_SALTS))
+    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*facts.columns), spread).cast("int"))
     copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     joined = salted.join(copies, [*on, "_salt"], how)
     return joined.select(*on, *columns, *extra)

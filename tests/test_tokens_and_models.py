@@ -79,7 +79,7 @@ def test_stop_word_join_equals_array_filter(spark):
 
 def test_lookup_join_large_side_equals_broadcast(spark):
     facts = spark.range(3000).select(
-        "id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("term"))
+        "id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, None).otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("term"))
     lookup = spark.range(40).select(F.concat(F.lit("k"), "id").alias("term"), F.col("id").alias("x")).union(
         spark.createDataFrame([("hot", 99)], "term string, x bigint"))
     for how in ("inner", "left", "left_anti"):
