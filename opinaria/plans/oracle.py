@@ -2,26 +2,14 @@
 
 from __future__ import annotations
 
-import zipfile
-from pathlib import Path
-
-import pyspark
-
 from opinaria.functions import stemming as st
+from opinaria.functions.stop_words import stop_words
 from opinaria.operators import external, lexicon
 
 WS = r"[\s\v\x1c-\x1f\x85\p{Z}]"
 NOT_WS = r"[^\s\v\x1c-\x1f\x85\p{Z}]"
 
 
-def shipped_stop_words(name: str) -> list[str]:
-    """A stop-word list as Spark ships it, read from Spark's own archive."""
-    jar = next((Path(pyspark.__file__).parent / "jars").glob("spark-mllib_*.jar"))
-    with zipfile.ZipFile(jar) as archive:
-        text = archive.read(f"org/apache/spark/ml/feature/stopwords/{name}.txt").decode("utf-8")
-    return [line.strip() for line in text.splitlines() if line.strip()]
-
-
 def quoted(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
@@ -64,8 +52,8 @@ DOC_VOCAB = """doc_freq AS (SELECT term, count(*) AS n FROM doc_terms GROUP BY t
 vocab AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS term_idx
     FROM (SELECT term FROM doc_freq ORDER BY n DESC, term LIMIT 1000))"""
 STOP = "stop AS (" + " UNION ALL ".join(
-    f"SELECT '{code}' AS lang, unnest([{listed(sorted(set(shipped_stop_words(name))))}]) AS term"
-    for code, name in (("de", "german"), ("en", "english"), ("es", "spanish"), ("fr", "french"))
+    f"SELECT '{code}' AS lang, unnest([{listed(sorted(set(stop_words(code))))}]) AS term"
+    for code in ("de", "en", "es", "fr")
 ) + ")"
 REVIEW_WORDS = DOC_WORDS + """, review_words AS (
     SELECT d.doc_id AS id, CASE WHEN l.quality = 1 THEN 'pos' ELSE 'neg' END AS label, d.w
@@ -90,7 +78,7 @@ def texts_from(posts: str) -> str:
 
 ALL_POSTS = TITLES + ", " + COMMENTS + ", " + texts_from("titles")
 FOUND_POSTS = FOUND + ", " + COMMENTS + ", " + texts_from("found")
-TURNS = f"""turns AS (SELECT * FROM (SELECT conv_id * 1000 + turn AS id,
+TURNS = f"""turns AS (SELECT * FROM (SELECT conv_id::VARCHAR || ':' || turn::VARCHAR AS id,
     CASE WHEN turn = 0 THEN 'titulo' ELSE 'comentario' END AS origem, {cleaned('text')} AS texto
     FROM conversations) WHERE texto <> '')"""
 

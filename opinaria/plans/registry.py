@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +15,7 @@ from pyspark.sql.window import Window
 
 from opinaria.functions import labels as L
 from opinaria.functions import text as X
+from opinaria.functions.stop_words import stop_words
 from opinaria.operators import evaluate as ev
 from opinaria.operators import external, lexicon, ml_models, summary
 from opinaria.operators import naive_bayes as nb
@@ -30,8 +30,7 @@ from opinaria.streaming import drop_folder
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-# Language codes of the documents and the names Spark lists their stop words under.
-LANGUAGES = {"de": "german", "en": "english", "es": "spanish", "fr": "french"}
+LANGUAGES = ("de", "en", "es", "fr")
 REVIEW_CLASSES = ("neg", "pos")
 KEYWORD = "the"
 
@@ -80,7 +79,7 @@ def turn_texts(spark: SparkSession, sf: str) -> DataFrame:
     turns = read_table(spark, f"{sf}/conversations.parquet", "conv_id", "turn", "text")
     return summary.cleaned_rows(
         turns, F.col("text"),
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
+        F.concat_ws(":", "conv_id", "turn").alias("id"),
         F.when(F.col("turn") == 0, posts.TITLE).otherwise(posts.COMMENT).alias("origem"),
     )
 
@@ -105,7 +104,7 @@ def responses_for(rows: DataFrame) -> DataFrame:
 
 
 def stop_lists() -> dict[str, list[str]]:
-    return {code: StopWordsRemover.loadDefaultStopWords(name) for code, name in LANGUAGES.items()}
+    return {code: stop_words(code) for code in LANGUAGES}
 
 
 def stop_table(spark: SparkSession) -> DataFrame:

@@ -1,16 +1,22 @@
 """Every registered query against its SQL in DuckDB, and the plans behind the large ones."""
 
 import re
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from opinaria.plans import registry
 
+ROOT = Path(__file__).resolve().parents[1]
 DATA = Path("/root/testdata/sf0.001")
 TYPES = {"bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN", "int": "INTEGER"}
-QUERIES, SQL = driver.queries(), driver.oracle_sql()
+# The queries of the training-data operators have their own tests.
+QUERIES = {name: driver.queries()[name] for name in registry.QUERIES}
+SQL = {name: sql for name, sql in driver.oracle_sql().items() if name in registry.QUERIES}
 
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test data")
 
@@ -75,3 +81,13 @@ def test_scans_read_only_needed_columns(spark):
 
 def test_entry(spark):
     assert driver.entry(spark).columns == ["model", "label", "n", "n_right"]
+
+
+def test_import_needs_no_jvm_and_no_jars(tmp_path):
+    code = (
+        "import pathlib, pyspark; pyspark.__file__ = '/nowhere/pyspark/__init__.py'\n"
+        "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))\n"
+        "from pyspark import SparkContext; assert SparkContext._jvm is None"
+    )
+    done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
