@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from opinaria.llm import arrays as A
 from opinaria.llm import windows as W
-from opinaria.sources.scratch import materialise
+from opinaria.llm.steps import written
 
 CUT = A.struct_type(n_words="long", n_removed="long", kept="string", kept_sha256="string")
 EDGES = "h long, next long, link long, _id long, ord int, at int, lo int, hi int"
@@ -57,7 +57,7 @@ def edges(docs: DataFrame, window: int, k: int) -> DataFrame:
 def repeated_edges(docs: DataFrame, window: int, k: int) -> DataFrame:
     rows = edges(docs, window, k)
     shared = rows.groupBy("h").agg(F.min("_id").alias("a"), F.max("_id").alias("b")).filter("a < b")
-    return materialise(rows.join(shared.select("h").hint("merge"), "h"), "word-edges")
+    return written(rows.join(shared.select("h").hint("merge"), "h"), "word-edges")
 
 
 def compact(occurrences: DataFrame) -> DataFrame:
@@ -84,28 +84,70 @@ def paths(occurrences: DataFrame, k: int) -> DataFrame:
     walks = marked.withColumn("walk", F.sum(begins.cast("int")).over(by_place))
     ends = walks.groupBy("_id", "walk").agg(
         F.min(F.struct("ord", "h", "at", "lo")).alias("a"), F.max(F.struct("ord", "at", "hi")).alias("b"))
-    return materialise(ends.select(
+    return written(ends.select(
         "_id", F.col("a.h").alias("head"), F.col("a.at").alias("start"), (F.col("b.at") + k).alias("end"),
         F.col("a.lo").alias("lo"), F.col("b.hi").alias("hi")), "word-paths")
 
 
+def side_rows(docs: DataFrame, sides: DataFrame, window: int) -> DataFrame:
+    """(_id, key, block, lo, hi): for the windows lo..hi that stick out of a path, a hash of all their words.
+
+    Only texts with the same key can share any of them: the window next to the path for a side of a
+    path that is itself a window long (near >= 0), and the path for a shorter one, which has one side.
+    """
+    packed = sides.groupBy("_id").agg(F.collect_list(F.struct("lo", "hi", "near", "head")).alias("_sides"))
+    joined = docs.join(packed.hint("shuffle_hash"), "_id").select("_id", "_text", "_sides")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in A.slices(whole, "_text", 4 * A.SLICE_BYTES):
+                values, lengths = W.units(batch["_text"], by_word=True)
+                rolling = A.Rolling(values)
+                lists = batch["_sides"]
+                counts = np.diff(np.asarray(lists.offsets))
+                flat = lists.flatten()
+                lo, hi, near, head = (np.asarray(flat.field(i)).astype(np.int64) for i in range(4))
+                start = np.repeat(A.starts_of(lengths), counts)
+                block = rolling.runs(start + lo, start + hi + window)
+                beside = start + np.where(near < 0, lo, near)
+                key = np.where(near < 0, head, A.signed(rolling.runs(beside, beside + window)))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.repeat(np.asarray(batch["_id"]), counts)), pa.array(key), pa.array(A.signed(block)),
+                    pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)),
+                ], names=["_id", "key", "block", "lo", "hi"])
+
+    return joined.mapInArrow(hashed, "_id long, key long, block long, lo int, hi int")
+
+
 def repeated_ranges(docs: DataFrame, window: int = 50, k: int = 25) -> DataFrame:
     """(_id, lo, hi): half-open word ranges covered by windows that also start in a smaller id."""
     found = paths(repeated_edges(docs, window, k), k)
     source = found.groupBy("head").agg(F.min(F.struct("_id", "start", "end")).alias("src"))
     placed = found.join(source.hint("merge"), "head").filter(
         (F.col("_id") > F.col("src._id")) & (F.col("end") - F.col("start") == F.col("src.end") - F.col("src.start")))
-    inside = placed.filter(F.col("end") - F.col("start") >= window).select(
-        "_id", F.col("start").alias("lo"), F.col("end").alias("hi"))
+    long_path = F.col("end") - F.col("start") >= window
+    inside = placed.filter(long_path).select("_id", F.col("start").alias("lo"), F.col("end").alias("hi"))
     # Windows lo..hi chose an edge of the path; those from start to end - window lie inside it.
-    after = F.greatest(F.col("end") - window + 1, F.col("start"))
-    outside = found.select("_id", F.inline(F.array(
-        F.struct(F.col("lo").alias("lo"), F.least(F.col("start") - 1, F.col("hi")).alias("hi")),
-        F.struct(F.greatest(after, F.col("lo")).alias("lo"), F.col("hi").alias("hi"))))).filter("lo <= hi")
-    rows = materialise(W.window_rows(docs, outside, window, by_word=True), "word-windows")
-    first = rows.groupBy("d1", "d2").agg(F.min("_id").alias("a"), F.max("_id").alias("b")).filter("a < b")
-    equal = rows.join(first.hint("merge"), ["d1", "d2"]).filter("_id > a")
-    return inside.unionByName(equal.select("_id", F.col("at").alias("lo"), (F.col("at") + window).alias("hi")))
+    none = F.lit(-1).alias("near")
+    left = F.struct(F.col("lo").alias("lo"), F.least(F.col("start") - 1, F.col("hi")).alias("hi"),
+                    (F.col("start") - 1).alias("near"))
+    right = F.struct(F.greatest(F.col("end") - window + 1, F.col("lo")).alias("lo"), F.col("hi").alias("hi"),
+                     (F.col("end") - window + 1).alias("near"))
+    around = F.struct(F.col("lo").alias("lo"), F.col("hi").alias("hi"), none)
+    sides = found.select("_id", "head", F.inline(F.when(long_path, F.array(left, right)).otherwise(
+        F.array(around)))).filter("lo <= hi")
+    rows = written(side_rows(docs, sides, window), "word-sides")
+    classes = written(rows.groupBy("key", "block").agg(F.min("_id").alias("first")), "word-classes")
+    several = classes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    classed = rows.join(classes.hint("merge"), ["key", "block"])
+    settled = classed.filter("_id > first").select("_id", "lo", (F.col("hi") + window).alias("hi"))
+    # What the smallest id of a class has is compared with other classes window by window.
+    open_rows = classed.filter("_id = first").join(several.hint("merge"), "key").select("_id", "lo", "hi").distinct()
+    windows = written(W.window_rows(docs, open_rows, window, by_word=True), "word-windows")
+    first = windows.groupBy("d1", "d2").agg(F.min("_id").alias("a"), F.max("_id").alias("b")).filter("a < b")
+    equal = windows.join(first.hint("merge"), ["d1", "d2"]).filter("_id > a")
+    return written(inside.unionByName(settled).unionByName(
+        equal.select("_id", F.col("at").alias("lo"), (F.col("at") + window).alias("hi"))), "word-ranges")
 
 
 @F.arrow_udf(CUT)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opinaria.llm import arrays as A
-from opinaria.sources.scratch import materialise
+from opinaria.llm.steps import written
 
 WINDOW, LEAST_RUN, LEAST_WORDS, LEAST_LITERALS = 8, 13, 5, 4
 # Windows of the items that tasks may hold to sift their documents by; beyond it, all windows are joined.
@@ -138,13 +138,13 @@ def contaminated(
     """
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).filter("_id IS NOT NULL")
     asked = items.select(F.col(item_id).cast("long").alias("_id"), F.col(item_text).cast("string").alias("_text")).filter("_id IS NOT NULL")
-    lengths = materialise(item_sizes(asked).filter(F.col("words") >= LEAST_WORDS), "item-sizes")
+    lengths = written(item_sizes(asked).filter(F.col("words") >= LEAST_WORDS), "item-sizes")
     short = [r[0] for r in lengths.filter(F.col("words") < WINDOW).select("words").distinct().collect()]
     sizes = sorted({*short, WINDOW})
     mine = windows_of(asked, sizes).join(lengths, "_id").filter(
         (F.col("size") == F.least(F.lit(WINDOW), "words"))).withColumnsRenamed(
         {"_id": "item", "at": "item_at", "slots": "item_slots"})
-    mine = materialise(mine, "item-windows")
+    mine = written(mine, "item-windows")
     sift, small = None, mine.count() <= most_sifted
     if small:
         known = mine.select("size", "h").distinct().collect()

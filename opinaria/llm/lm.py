@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from opinaria.llm import arrays as A
 from opinaria.llm import planes as P
-from opinaria.sources.scratch import materialise
+from opinaria.llm.steps import written
 
 SLICE = 16_000_000
 KEYS_PER_PART = 2_000_000
@@ -278,12 +278,12 @@ def score_texts(docs: DataFrame, kind: Column, id_col: str = "doc_id", text_col:
     """
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"),
                        kind.cast("int").alias("_kind"))
-    made = materialise(slices(rows), "lm-slices")
+    made = written(slices(rows), "lm-slices")
     size = made.agg(F.sum("n_bytes")).first()[0] or 0
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # About one distinct word or pair for every eight bytes of text.
     parts = max(least, math.ceil(size / 8 / KEYS_PER_PART))
-    totals = materialise(packets(made, parts).groupBy("part").applyInArrow(add_up, TOTALS), "lm-totals")
+    totals = written(packets(made, parts).groupBy("part").applyInArrow(add_up, TOTALS), "lm-totals")
     sums = totals.filter("slice IS NULL").select(*(F.sum(F.col("stats")[i]) for i in range(3))).first()
     n_counted, n_all, distinct = (x or 0 for x in sums)
     weighed = with_totals(made.filter(F.col("kind") == WEIGHED), totals)

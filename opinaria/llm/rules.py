@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opinaria.sources.scratch import materialise
+from opinaria.llm.steps import written
 
 BLANK = "[\\x20\\x09-\\x0D]+"
 BLANKS, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
@@ -130,8 +130,8 @@ def judged(docs: DataFrame, **columns: str) -> DataFrame:
     Null texts have no words, and so fail; null languages and sources are groups of their own. Every
     row is judged, rows that repeat an id included; an empty table gives an empty table.
     """
-    rows = materialise(measured(docs, **columns), "quality-statistics")
-    limits = materialise(fences(materialise(sketches(rows), "quality-sketches")), "quality-fences")
+    rows = written(measured(docs, **columns), "quality-statistics")
+    limits = written(fences(written(sketches(rows), "quality-sketches")), "quality-fences")
     inside = [F.col(c) <= F.col(f"upper_{c}") for c in UPPER] + [F.col(c) >= F.col(f"lower_{c}") for c in LOWER]
     within = F.lit(True)
     for test in inside:

@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opinaria.llm.steps import written
 from opinaria.sources.scratch import materialise
 
 SHINGLE, MOST_BITS, SEGMENT_BITS, GROUPS = 4, 4, 2, 7
@@ -149,7 +150,7 @@ def near_links(points: DataFrame) -> DataFrame:
     """
     placed = cells(points)
     sizes = placed.groupBy("grid", "cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = materialise(placed.join(sizes.hint("merge"), ["grid", "cell"]), "simhash-cells")
+    shared = written(placed.join(sizes.hint("merge"), ["grid", "cell"]), "simhash-cells")
     small = shared.filter(F.col("n") <= BLOCK).drop("n")
     other = small.select("grid", "cell", F.col("fp").alias("fp_2"), F.col("counts").alias("counts_2"))
     close = (
@@ -212,12 +213,12 @@ def near_duplicates(
     own only if no other id shares its fingerprint's component; nulls never become the least id.
     Rows of one id stay one row each. An empty table gives an empty table.
     """
-    prints = materialise(with_fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    prints = written(with_fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     points = prints.groupBy("fp").agg(F.min("_id").alias("least"))
     found = components(near_links(points.select("fp")))
     rooted = points.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = materialise(rooted, "rooted")
+    rooted = written(rooted, "rooted")
     named = rooted.groupBy("root").agg(F.min("least").alias("component"))
     by_point = rooted.join(named.hint("merge"), "root").select("fp", "component")
     return prints.join(by_point.hint("merge"), "fp").select("_id", "fp", "component")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from opinaria.llm import arrays as A
 from opinaria.llm import windows as W
-from opinaria.sources.scratch import materialise
+from opinaria.llm.steps import written
 
 CUT = A.struct_type(n_bytes="long", n_removed="long", n_spans="long", kept="binary", kept_sha256="string")
 
@@ -54,22 +54,23 @@ def repeated_ranges(docs: DataFrame, length: int = 100, digit: int = 32) -> Data
     """
     rows = blocks(docs, length, digit)
     twice = rows.select("h").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    kept = materialise(rows.join(twice.hint("merge"), "h"), "suffix-blocks")
+    kept = written(rows.join(twice.hint("merge"), "h"), "suffix-blocks")
     at = F.struct("_id", "lo")
-    by_block = materialise(kept.groupBy("h", "block").agg(F.min(at).alias("first")), "suffix-firsts")
+    by_block = written(kept.groupBy("h", "block").agg(F.min(at).alias("first")), "suffix-firsts")
     several = by_block.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
     placed = kept.join(by_block.hint("merge"), ["h", "block"]).filter(at > F.col("first"))
     settled = placed.select("_id", "lo", (F.col("hi") + length).alias("hi"))
     # The first copy of each differing block: hi - lo is the same in all copies of a block.
     width = kept.groupBy("h", "block").agg(F.min(F.struct("_id", "lo", "hi")).alias("f"))
     open_rows = width.join(several.hint("merge"), "h").select("f._id", "f.lo", "f.hi")
-    suffixes = materialise(W.window_rows(docs, open_rows, length, by_word=False), "suffix-windows")
+    suffixes = written(W.window_rows(docs, open_rows, length, by_word=False), "suffix-windows")
     pass_1 = suffixes.groupBy("d1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("d1")
-    left = suffixes.join(pass_1.hint("merge"), "d1")
+    left = written(suffixes.join(pass_1.hint("merge"), "d1"), "suffix-pass")
     pass_2 = left.groupBy("d1", "d2").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("_id", "at")).alias("first")).filter("n > 1")
-    equal = suffixes.join(pass_2.hint("merge"), ["d1", "d2"]).filter(F.struct("_id", "at") > F.col("first"))
-    return settled.unionByName(equal.select("_id", F.col("at").alias("lo"), (F.col("at") + length).alias("hi")))
+    equal = left.join(pass_2.hint("merge"), ["d1", "d2"]).filter(F.struct("_id", "at") > F.col("first"))
+    return written(settled.unionByName(
+        equal.select("_id", F.col("at").alias("lo"), (F.col("at") + length).alias("hi"))), "suffix-ranges")
 
 
 @F.arrow_udf(CUT)
