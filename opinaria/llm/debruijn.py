@@ -76,7 +76,7 @@ def compact(occurrences: DataFrame) -> DataFrame:
 
 def paths(occurrences: DataFrame, k: int) -> DataFrame:
     """(_id, head, start, end, lo, hi): each walk of a document along one path, in words."""
-    joins = compact(occurrences)
+    joins = written(compact(occurrences), "word-joins")
     marked = occurrences.join(joins.hint("merge"), "h", "left").select(
         "_id", "ord", "h", "at", "lo", "hi", F.coalesce("joins", F.lit(False)).alias("joins"))
     by_place = Window.partitionBy("_id").orderBy("ord")

@@ -3,7 +3,7 @@
 Suffixes are ordered by most-significant-digit passes and only to ``length`` bytes; equal groups are
 exactly the repeated strings. Two things keep the first pass from moving every byte of the corpus:
 
-* Of all suffixes, the chosen ones (least 32-byte hash among the suffixes of each window) go through
+* Of all suffixes, the chosen ones (least 48-byte hash among the suffixes of each window) go through
   the first digit; windows of a suffix whose digit occurs once are unique and need no more passes.
 * Neighbouring windows with the same chosen suffix form a block, ordered as one. A block that also
   starts earlier settles all its windows; only the first copy of differing blocks goes on, window by
@@ -46,7 +46,7 @@ def blocks(docs: DataFrame, length: int, digit: int) -> DataFrame:
     return docs.mapInArrow(chosen, "h long, block long, _id long, lo int, hi int")
 
 
-def repeated_ranges(docs: DataFrame, length: int = 100, digit: int = 32) -> DataFrame:
+def repeated_ranges(docs: DataFrame, length: int = 100, digit: int = 48) -> DataFrame:
     """(_id, lo, hi): half-open byte ranges covered by strings of ``length`` bytes that start earlier.
 
     ``docs`` has _id and _text. Passes: the digit of the chosen suffixes, blocks, first half of a
@@ -86,7 +86,7 @@ def cut_bytes(texts: pa.Array, ranges: pa.Array) -> pa.Array:
 
 
 def remove_repeated_bytes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, digit: int = 32,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, digit: int = 48,
 ) -> DataFrame:
     """Every column of ``docs`` as struct ``row``, and what is left of its text as struct ``cut``.
 
