@@ -35,6 +35,7 @@ CHUNKS = (
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 # White space to one library and not to the other: such texts are asked for whole.
 _ODD = r"[\x{1c}-\x{1f}\x{85}\x{180e}\x{200b}\x{feff}]"
+_BLANK = re.compile(r"\s")
 _INNER = re.compile(r"(?<=\S) (?=\S)")
 _SPACE = r"[\s\v\p{Z}]"
 _DOUBLE = f"{_SPACE}{_SPACE}|^{_SPACE}|{_SPACE}$"
@@ -62,7 +63,7 @@ class PieceEncoder:
 
     def learn(self, words: set[str]) -> None:
         """Ask for words; those without white space inside go in one text, a line break after each."""
-        plain = [w for w in words if not any(c.isspace() for c in w[1:]) and w.strip()]
+        plain = [w for w in words if not _BLANK.search(w, 1) and w != " "]
         for a in range(0, len(plain), 2_000):
             part = plain[a : a + 2_000]
             got = np.frombuffer(self.ids("".join(f"{w}\n" for w in part)), dtype="<u4")
@@ -152,7 +153,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
         coder, number, start = encoder(tokenizer), 0, 0
         ids, rows, size = [], [], 0
         for whole in batches:
-            for batch in A.slices(whole, "_text", 4 * A.SLICE_BYTES):
+            for batch in A.slices(whole, "_text", 8 * A.SLICE_BYTES):
                 found = coder.encode(pc.fill_null(batch["_text"], ""))
                 for doc, row in zip(batch["_id"].to_pylist(), found, strict=True):
                     ids.append(doc)
