@@ -334,13 +334,13 @@ def lexicon_labels(scores: DataFrame, column: str = "sent_vader", key: str = "id
 
 def with_lexicon_label(
     texts: DataFrame, lexicon: DataFrame, column: str = "sent_vader", text: str = "texto",
-    key: str = "id", *, context: bool = True,
+    key: str = "id", *, context: bool = True, to: DataFrame | None = None,
 ) -> DataFrame:
-    """Add a lexicon label to every row.
+    """Add a lexicon label to every row, or to the rows of ``to`` that have the same keys.
 
     Word rows carry the key alone, never the text. The scores come out hashed on the key, so the
     join moves only the texts, and not even those when they already lie hashed or bucketed on it.
     """
     score = context_scores if context else plain_scores
     labels = lexicon_labels(score(texts.select(key, text), lexicon, key, text), column, key)
-    return texts.join(labels, key, "left")
+    return (texts if to is None else to).join(labels, key, "left")

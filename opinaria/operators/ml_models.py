@@ -7,13 +7,18 @@ from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.feature import CountVectorizerModel, IndexToString, StringIndexer
 from pyspark.sql import DataFrame
 
-from opinaria.operators.naive_bayes import GAUSSIAN
-from opinaria.operators.tokens import MAX_FEATURES
+from opinaria.operators.naive_bayes import GAUSSIAN, class_labels
 
 
-def vocabulary_terms(vocab: DataFrame, max_features: int = MAX_FEATURES) -> list[str]:
-    """The terms in index order; a vocabulary has at most ``max_features``."""
-    return [r["term"] for r in vocab.orderBy("term_idx").limit(max_features).collect()]
+MAX_TERMS = 1_000_000
+
+
+def vocabulary_terms(vocab: DataFrame, most: int = MAX_TERMS) -> list[str]:
+    """All terms in index order; more than ``most`` are an error, as the driver holds them."""
+    rows = vocab.orderBy("term_idx").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} terms")
+    return [r["term"] for r in rows]
 
 
 def term_vectors(
@@ -28,6 +33,7 @@ def fit_gaussian(
     training: DataFrame, terms: list[str], label: str = "label", words: str = "words"
 ) -> PipelineModel:
     """Gaussian Naive Bayes on term counts; classes in sorted order, so ties go to the first."""
+    class_labels(training, label)
     indexer = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(training)
     model = NaiveBayes(featuresCol="_x", labelCol="_y", predictionCol="_p", modelType=GAUSSIAN)
     fitted = model.fit(indexer.transform(term_vectors(training, terms, words, "_x")))

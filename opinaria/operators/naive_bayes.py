@@ -143,6 +143,11 @@ def fit(
     if kind not in WEIGHTS:
         raise ValueError(f"kind must be one of {sorted(WEIGHTS)}")
     names = tuple(sorted(labels)) if labels is not None else class_labels(training, label)
+    if len(names) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
+    if vocab is not None:
+        # A vocabulary from elsewhere is counted, as its size decides how it is joined.
+        max_features = vocab.count()
     terms = vocab if vocab is not None else vocabulary(training, words, max_features)
     priors = class_priors(training, names, label)
     counts = class_term_counts(
@@ -230,12 +235,16 @@ def save_model(model: NaiveBayesModel, path: str) -> None:
     )
     named.coalesce(1).write.parquet(f"{path}/labels")
     for name in ("vocab", "priors", "term_weights"):
-        getattr(model, name).coalesce(1).write.parquet(f"{path}/{name}")
+        # One file, after the aggregate has run in parallel.
+        getattr(model, name).repartition(1).write.parquet(f"{path}/{name}")
 
 
 def load_model(spark: SparkSession, path: str) -> NaiveBayesModel:
     """Read a model written by ``save_model``."""
-    rows = spark.read.parquet(f"{path}/labels").orderBy("label_idx").limit(MAX_CLASSES).collect()
+    named = spark.read.parquet(f"{path}/labels").orderBy("label_idx").limit(MAX_CLASSES + 1)
+    rows = named.collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes in {path}")
     tables = {n: spark.read.parquet(f"{path}/{n}") for n in ("vocab", "priors", "term_weights")}
     return NaiveBayesModel(
         rows[0]["kind"], tuple(r["label"] for r in rows), max_features=rows[0]["max_features"], **tables
@@ -245,7 +254,7 @@ def load_model(spark: SparkSession, path: str) -> NaiveBayesModel:
 def materialised(model: NaiveBayesModel) -> NaiveBayesModel:
     """The same model with its weights written once, so that scoring does not repeat the training."""
     return replace(
-        model, term_weights=materialise(model.term_weights.coalesce(1), f"weights-{model.kind}")
+        model, term_weights=materialise(model.term_weights.repartition(1), f"weights-{model.kind}")
     )
 
 

@@ -107,11 +107,12 @@ def first_terms(vocab: DataFrame, n: int = 50) -> DataFrame:
 
 def document_terms(
     df: DataFrame, vocab: DataFrame, key: str = "id", words: str = "words",
-    max_features: int = MAX_FEATURES,
+    max_features: int | None = None,
 ) -> DataFrame:
     """Sparse document-term matrix (key, term_idx, n); words outside the vocabulary vanish.
 
-    The vocabulary is joined before the counting, so only its terms are counted and shuffled.
+    The vocabulary is joined before the counting, so only its terms are counted and shuffled. State
+    its size as ``max_features`` only where it is known; else it is counted.
     """
     known = lookup_join(term_rows(df, key, words=words), vocab, ["term"], known_rows=max_features)
     return known.groupBy(key, "term_idx").agg(F.count("*").alias("n"))

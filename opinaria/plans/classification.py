@@ -51,7 +51,8 @@ def classify(
         labelled = external.score_with(texts, factory, files.MODEL_LABEL)
     if lexicon is None:
         return labelled
-    return with_lexicon_label(labelled, lexicon, files.LEXICON_LABEL, context=context)
+    # Scored from the texts themselves: reading the labelled rows again would ask the scorer again.
+    return with_lexicon_label(texts, lexicon, files.LEXICON_LABEL, context=context, to=labelled)
 
 
 def _finish(spark: SparkSession, texts: DataFrame, target: str, **scorers) -> Classified:

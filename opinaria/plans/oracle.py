@@ -116,6 +116,9 @@ ANSWERED = MARKED + ", " + responses("marked") + f""", answered AS (
     FROM marked m LEFT JOIN responses r ON m.id = r.id)"""
 
 
+KEPT = "kept AS (SELECT * FROM answered WHERE prediction IN ('positivo', 'negativo'))"
+
+
 def scorer(text: str) -> str:
     return f"""CASE WHEN contains({text}, '?') THEN 'nao_classificado'
         WHEN contains({text}, 'the') THEN 'positivo' WHEN contains({text}, ' and ') THEN 'negativo'
@@ -494,14 +497,14 @@ def oracle_sql() -> dict[str, str]:
             format('{:.2f}%', 100 * accuracy) AS shown FROM shares"""
     sql["accuracy"] = with_(ANSWERED) + """SELECT round(avg((sentiment = prediction)::INT::DOUBLE), 6) AS accuracy
         FROM answered WHERE prediction IN ('positivo', 'negativo')"""
-    sql["confusion"] = with_(ANSWERED) + """SELECT sentiment AS label, prediction, count(*) AS n
-        FROM answered GROUP BY sentiment, prediction"""
-    sql["classification_report"] = with_(ANSWERED) + """, classes AS (
-            SELECT sentiment AS class FROM answered UNION SELECT prediction FROM answered),
+    sql["confusion"] = with_(ANSWERED, KEPT) + """SELECT sentiment AS label, prediction, count(*) AS n
+        FROM kept GROUP BY sentiment, prediction"""
+    sql["classification_report"] = with_(ANSWERED, KEPT) + """, classes AS (
+            SELECT sentiment AS class FROM kept UNION SELECT prediction FROM kept),
         per AS (SELECT class,
-            (SELECT count(*) FROM answered WHERE sentiment = class AND prediction = class) AS tp,
-            (SELECT count(*) FROM answered WHERE sentiment = class) AS support,
-            (SELECT count(*) FROM answered WHERE prediction = class) AS predicted FROM classes),
+            (SELECT count(*) FROM kept WHERE sentiment = class AND prediction = class) AS tp,
+            (SELECT count(*) FROM kept WHERE sentiment = class) AS support,
+            (SELECT count(*) FROM kept WHERE prediction = class) AS predicted FROM classes),
         prf AS (SELECT class, tp, support,
             CASE WHEN predicted > 0 THEN tp::DOUBLE / predicted ELSE 0.0 END AS p,
             CASE WHEN support > 0 THEN tp::DOUBLE / support ELSE 0.0 END AS r,

@@ -575,12 +575,12 @@ def accuracy(spark, sf):
 
 @query
 def confusion(spark, sf):
-    return ev.confusion(answered_reviews(spark, sf), "sentiment")
+    return ev.confusion(ev.answered(answered_reviews(spark, sf)), "sentiment")
 
 
 @query
 def classification_report(spark, sf):
-    report = ev.classification_report(answered_reviews(spark, sf), "sentiment")
+    report = ev.classification_report(ev.answered(answered_reviews(spark, sf)), "sentiment")
     measures = ("precision", "recall", "f1_score")
     return report.select("class", *[F.round(m, 6).alias(m) for m in measures], "support")
 

@@ -6,6 +6,7 @@ import posixpath
 
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from opinaria.operators.row_ids import with_row_ids, with_row_ids_within
 from opinaria.operators.summary import cleaned_rows
@@ -37,8 +38,14 @@ def read_csv(
     spark: SparkSession, path: str, required: tuple[str, ...], separator: str = SEPARATOR,
     multi_line: bool = True,
 ) -> DataFrame:
-    """All columns as strings, named by the header; a missing required column is an error."""
-    df = spark.read.options(**csv_options(separator, multi_line)).csv(path)
+    """All columns as strings, named by the header; a missing required column is an error.
+
+    So are files of different headers in one folder. Folder names such as keyword=007 stay strings.
+    """
+    options = csv_options(separator, multi_line)
+    names = spark.read.options(**options).csv(path).columns
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
+    df = spark.read.schema(schema).options(**options, enforceSchema=False).csv(path)
     missing = sorted(set(required) - set(df.columns))
     if missing:
         raise ValueError(f"{path} lacks the columns {missing}")

@@ -22,9 +22,11 @@ def stream_texts(
 ) -> DataFrame:
     """(origem, texto) of every comment file in the folder, now and later.
 
-    ``max_files`` bounds how many files one micro-batch takes.
+    ``max_files`` bounds how many files one micro-batch takes. A file whose header differs from
+    ``schema`` is an error: no column is taken for another by its place.
     """
-    reader = spark.readStream.schema(schema).options(**csv_options(multi_line=multi_line))
+    options = csv_options(multi_line=multi_line)
+    reader = spark.readStream.schema(schema).options(**options, enforceSchema=False)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return manual_texts(reader.csv(folder), text_column)

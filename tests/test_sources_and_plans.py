@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from opinaria.functions import labels as L
 from opinaria.operators import evaluate as ev
-from opinaria.operators import external, summary
+from opinaria.operators import external, ml_models, summary
+from opinaria.operators import naive_bayes as nb
 from opinaria.plans import answers, classification
 from opinaria.sources import files, posts, scratch, tables
 from opinaria.streaming import drop_folder
@@ -307,3 +308,36 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
     everything = classify(files.read_manual_texts(spark, inbox))
     assert sorted(map(tuple, spark.read.parquet(counts).collect())) == sorted(
         map(tuple, summary.label_counts(everything, "sent_gemini").collect()))
+
+
+def test_csv_is_read_by_name(spark, tmp_path):
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    (folder / "a.csv").write_text("id;comentario/review\n1;um bom filme\n", encoding="utf-8")
+    assert files.read_manual_texts(spark, str(folder)).count() == 1
+    (folder / "b.csv").write_text("id;origem;comentario/review\n1;titulo;um bom filme\n", encoding="utf-8")
+    with pytest.raises(Exception, match="CSV header|column"):
+        files.read_manual_texts(spark, str(folder)).collect()
+    parts = tmp_path / "parts" / "keyword=007"
+    parts.mkdir(parents=True)
+    (parts / "a.csv").write_text("id;comentario/review\n1;um bom filme\n", encoding="utf-8")
+    got = files.read_csv(spark, str(tmp_path / "parts"), ("keyword",)).collect()
+    assert [r["keyword"] for r in got] == ["007"]
+
+
+def test_a_lexicon_does_not_ask_the_scorer_again(spark):
+    texts = spark.createDataFrame([(i, "titulo", f"bom {i}") for i in range(20)], "id long, origem string, texto string")
+    lexicon = spark.createDataFrame([("bom", 2.0)], "term string, valence double")
+    rows = classification.classify(texts, factory=lambda: lambda prompt: "positivo", lexicon=lexicon)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+    assert rows.count() == 20
+
+
+def test_no_class_or_term_is_cut(spark, tmp_path):
+    terms = spark.createDataFrame([(f"t{i:04}", i) for i in range(3000)], "term string, term_idx int")
+    assert len(ml_models.vocabulary_terms(terms)) == 3000
+    with pytest.raises(ValueError):
+        ml_models.vocabulary_terms(terms, most=2999)
+    rows = spark.createDataFrame([("a", ["t0001"])], "label string, words array<string>")
+    with pytest.raises(ValueError):
+        nb.fit(rows, vocab=terms, labels=[f"c{i}" for i in range(nb.MAX_CLASSES + 1)])
