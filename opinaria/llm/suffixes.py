@@ -28,7 +28,7 @@ CUT = A.struct_type(n_bytes="long", n_removed="long", n_spans="long", kept="bina
 
 
 def blocks(docs: DataFrame, length: int, digit: int) -> DataFrame:
-    """(h, block, _id, lo, hi): chosen suffixes, the windows lo..hi of each, a hash of their bytes."""
+    """(h, block, _id, at, lo, hi): chosen suffixes, the windows lo..hi of each, a hash of their bytes."""
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -40,10 +40,46 @@ def blocks(docs: DataFrame, length: int, digit: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([
                     pa.array(A.signed(got["key"])), pa.array(A.signed(rolling.runs(got["lo"], got["hi"] + length))),
                     pa.array(np.asarray(batch["_id"])[got["doc"]]),
-                    pa.array((got["lo"] - start).astype(np.int32)), pa.array((got["hi"] - start).astype(np.int32)),
-                ], names=["h", "block", "_id", "lo", "hi"])
+                    *(pa.array((got[c] - start).astype(np.int32)) for c in ("at", "lo", "hi")),
+                ], names=["h", "block", "_id", "at", "lo", "hi"])
 
-    return docs.mapInArrow(chosen, "h long, block long, _id long, lo int, hi int")
+    return docs.mapInArrow(chosen, "h long, block long, _id long, at int, lo int, hi int")
+
+
+def stretches(docs: DataFrame, ranges: DataFrame, length: int, digit: int, step: int = 8) -> DataFrame:
+    """(_id, key, block, lo, hi): the windows lo..hi of each block in stretches of up to ``step``.
+
+    Stretches are counted from the chosen suffix, so equal windows lie in stretches of one number. The
+    key is the hash of the bytes that all windows of such a stretch share; the block is that of all
+    its bytes here, where a block may end within a stretch.
+    """
+    packed = ranges.groupBy("_id").agg(F.collect_list(F.struct("at", "lo", "hi")).alias("_blocks"))
+    joined = docs.join(packed.hint("shuffle_hash"), "_id").select("_id", "_text", "_blocks")
+    most = length - digit
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in A.slices(whole, "_text"):
+                values, lengths = W.units(batch["_text"], by_word=False)
+                rolling = A.Rolling(values)
+                lists = batch["_blocks"]
+                counts = np.diff(np.asarray(lists.offsets))
+                start = np.repeat(A.starts_of(lengths), counts)
+                at, lo, hi = (np.asarray(lists.flatten().field(i)).astype(np.int64) for i in range(3))
+                # Number of the stretch of a window: windows start at most ``most`` before the suffix.
+                number, owner = A.expand((lo - at + most) // step, (hi - at + most) // step)
+                first = at[owner] - most + number * step
+                base = start[owner]
+                a, b = np.maximum(first, lo[owner]), np.minimum(first + step - 1, hi[owner])
+                key = rolling.runs(base + first + step - 1, base + first + length)
+                block = A.mix(rolling.runs(base + a, base + b + length) ^ (a - first).astype(np.uint64))
+                ids = np.repeat(np.asarray(batch["_id"]), counts)[owner]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(ids), pa.array(A.signed(key)), pa.array(A.signed(block)),
+                    pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)),
+                ], names=["_id", "key", "block", "lo", "hi"])
+
+    return joined.mapInArrow(hashed, "_id long, key long, block long, lo int, hi int")
 
 
 def repeated_ranges(docs: DataFrame, length: int = 100, digit: int = 48) -> DataFrame:
@@ -60,9 +96,15 @@ def repeated_ranges(docs: DataFrame, length: int = 100, digit: int = 48) -> Data
     several = by_block.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
     placed = kept.join(by_block.hint("merge"), ["h", "block"]).filter(at > F.col("first"))
     settled = placed.select("_id", "lo", (F.col("hi") + length).alias("hi"))
-    # The first copy of each differing block: hi - lo is the same in all copies of a block.
-    width = kept.groupBy("h", "block").agg(F.min(F.struct("_id", "lo", "hi")).alias("f"))
-    open_rows = width.join(several.hint("merge"), "h").select("f._id", "f.lo", "f.hi")
+    firsts = kept.groupBy("h", "block").agg(F.min(F.struct("_id", "lo", "at", "hi")).alias("f"))
+    open_blocks = firsts.join(several.hint("merge"), "h").select("f._id", "f.at", "f.lo", "f.hi")
+    parts = written(stretches(docs, open_blocks, length, digit), "suffix-stretches")
+    classes = written(parts.groupBy("key", "block").agg(F.min(at).alias("first")), "suffix-classes")
+    mixed = classes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    classed = written(parts.join(classes.hint("merge"), ["key", "block"]), "suffix-classed")
+    settled = settled.unionByName(classed.filter(at > F.col("first")).select(
+        "_id", "lo", (F.col("hi") + length).alias("hi")))
+    open_rows = classed.filter(at == F.col("first")).join(mixed.hint("merge"), "key").select("_id", "lo", "hi")
     suffixes = written(W.window_rows(docs, open_rows, length, by_word=False), "suffix-windows")
     pass_1 = suffixes.groupBy("d1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("d1")
     left = written(suffixes.join(pass_1.hint("merge"), "d1"), "suffix-pass")
