@@ -8,7 +8,7 @@ once per document, which an array function settles inside the document's own row
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from opinaria.operators.dimension import lookup_join
-from opinaria.operators.tokens import MAX_FEATURES, term_rows, vocabulary
+from opinaria.operators.dimension import MAX_BROADCAST_ROWS, lookup_join
+from opinaria.operators.tokens import MAX_FEATURES, term_rows, vocabulary, word_array
 from opinaria.sources.scratch import materialise
 
 # Additive smoothing, and the two model families that are trained.
@@ -34,10 +34,29 @@ MAX_CLASSES = 1000
 BASE_TERM = ""
 
 
+@dataclass(frozen=True)
+class Preparation:
+    """How a text becomes words: the stop words (one list, or lists by language code) and stemming."""
+
+    stop_words: Iterable[str] | Mapping[str, Iterable[str]] = ()
+    stem: bool = True
+
+    def words(self, text: Column, language: Column | None = None) -> Column:
+        if isinstance(self.stop_words, Mapping) and language is None:
+            raise ValueError("stop words by language need a language column")
+        return word_array(text, language=language, stop_words=self.stop_words, stem=self.stem)
+
+
+PREPARATION_ROWS = "by_language boolean, stem boolean, lang string, term string"
+
+
 @dataclass(frozen=True)
 class NaiveBayesModel:
     """``vocab`` (term, term_idx), ``priors`` (label, n, log_prior), ``term_weights`` (label, term,
-    weight), where the row of ``BASE_TERM`` is the score every text of that class starts from."""
+    weight), where the row of ``BASE_TERM`` is the score every text of that class starts from.
+
+    ``preparation``, where known, is how the texts became words; new texts are prepared the same way.
+    """
 
     kind: str
     labels: tuple[str, ...]
@@ -45,6 +64,7 @@ class NaiveBayesModel:
     priors: DataFrame
     term_weights: DataFrame
     max_features: int = MAX_FEATURES
+    preparation: Preparation | None = None
 
 
 def class_labels(training: DataFrame, label: str = "label") -> tuple[str, ...]:
@@ -82,12 +102,19 @@ def class_term_counts(
     rows = term_rows(
         training.filter(F.col(label).isin(list(labels))), label, words=words, distinct=per_document
     )
+    if max_features > MAX_BROADCAST_ROWS:
+        # The rows of one word are alike and would share a salt, so they are counted before the join.
+        rows = rows.groupBy(label, "term").agg(F.count("*").alias("_n"))
+    else:
+        rows = rows.withColumn("_n", F.lit(1).cast("bigint"))
     known = lookup_join(rows, vocab.select("term"), ["term"], known_rows=max_features)
     # One row without a label per term: a term the training split never shows gets its zeros too.
-    unseen = vocab.select("term", F.lit(None).cast("string").alias(label))
-    counted = known.select("term", label).unionByName(unseen).groupBy("term").agg(
-        *[F.count_if(F.col(label) == name).alias(f"n_{i}") for i, name in enumerate(labels)]
-    )
+    none = F.lit(0).cast("bigint")
+    unseen = vocab.select("term", F.lit(None).cast("string").alias(label), none.alias("_n"))
+    counted = known.select("term", label, "_n").unionByName(unseen).groupBy("term").agg(*[
+        F.sum(F.when(F.col(label) == name, F.col("_n")).otherwise(none)).alias(f"n_{i}")
+        for i, name in enumerate(labels)
+    ])
     per_class = F.array(*[
         F.struct(F.lit(name).alias("label"), F.col(f"n_{i}").alias("n"))
         for i, name in enumerate(labels)
@@ -237,6 +264,29 @@ def save_model(model: NaiveBayesModel, path: str) -> None:
     for name in ("vocab", "priors", "term_weights"):
         # One file, after the aggregate has run in parallel.
         getattr(model, name).repartition(1).write.parquet(f"{path}/{name}")
+    model.vocab.sparkSession.createDataFrame(
+        _preparation_rows(model.preparation), PREPARATION_ROWS
+    ).coalesce(1).write.parquet(f"{path}/preparation")
+
+
+def _preparation_rows(preparation: Preparation | None) -> list[tuple]:
+    """A row with neither language nor term says that there is a preparation; then one per stop word."""
+    if preparation is None:
+        return []
+    by_language, stem = isinstance(preparation.stop_words, Mapping), preparation.stem
+    lists = preparation.stop_words if by_language else {None: preparation.stop_words}
+    return [(by_language, stem, None, None)] + [
+        (by_language, stem, lang, term) for lang, listed in lists.items() for term in listed]
+
+
+def _preparation_of(rows: Sequence) -> Preparation | None:
+    if not rows:
+        return None
+    lists: dict[str | None, list[str]] = {}
+    for row in rows:
+        if row["term"] is not None:
+            lists.setdefault(row["lang"], []).append(row["term"])
+    return Preparation(lists if rows[0]["by_language"] else lists.get(None, []), rows[0]["stem"])
 
 
 def load_model(spark: SparkSession, path: str) -> NaiveBayesModel:
@@ -246,8 +296,11 @@ def load_model(spark: SparkSession, path: str) -> NaiveBayesModel:
     if len(rows) > MAX_CLASSES:
         raise ValueError(f"more than {MAX_CLASSES} classes in {path}")
     tables = {n: spark.read.parquet(f"{path}/{n}") for n in ("vocab", "priors", "term_weights")}
+    # As many rows as the stop-word lists that the model was given in memory.
+    preparation = spark.read.schema(PREPARATION_ROWS).parquet(f"{path}/preparation").collect()
     return NaiveBayesModel(
-        rows[0]["kind"], tuple(r["label"] for r in rows), max_features=rows[0]["max_features"], **tables
+        rows[0]["kind"], tuple(r["label"] for r in rows), max_features=rows[0]["max_features"],
+        preparation=_preparation_of(preparation), **tables
     )
 
 

@@ -257,6 +257,17 @@ stem_lists AS (SELECT k.id, list(s.stem ORDER BY k.pos) AS w
 full_words AS (SELECT d.doc_id AS id, CASE WHEN l.quality = 1 THEN 'pos' ELSE 'neg' END AS label,
         coalesce(f.w, []) AS w
     FROM doc_words d JOIN labels l ON d.doc_id = l.doc_id LEFT JOIN stem_lists f ON f.id = d.doc_id)"""
+# The same preparation of every document, labelled or not.
+ALL_FULL_WORDS = STOP + ", " + DOC_WORDS + """, word_places AS (
+    SELECT doc_id AS id, lang, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM doc_words),
+kept_words AS (SELECT k.* FROM word_places k ANTI JOIN stop s ON k.lang = s.lang AND k.term = s.term),
+kept_terms AS (SELECT DISTINCT term FROM kept_words), """ + stems("kept_terms") + """,
+stem_lists AS (SELECT k.id, list(s.stem ORDER BY k.pos) AS w
+    FROM kept_words k JOIN stems s ON k.term = s.term GROUP BY k.id),
+all_words AS (SELECT d.doc_id AS id, coalesce(f.w, []) AS w
+    FROM doc_words d LEFT JOIN stem_lists f ON f.id = d.doc_id),
+full_words AS (SELECT a.id, CASE WHEN l.quality = 1 THEN 'pos' ELSE 'neg' END AS label, a.w
+    FROM all_words a JOIN labels l ON a.id = l.doc_id)"""
 FULL_SCORES = (
     FULL_WORDS + ", " + bayes("full_words") + ", " + scored("mnb", "full_words") + ", "
     + scored("bnb", "full_words") + ", " + predictions("full_words")
@@ -466,6 +477,8 @@ def oracle_sql() -> dict[str, str]:
     everything = "all_words AS (SELECT doc_id AS id, w FROM doc_words)"
     sql["nb_predict"] = with_(PLAIN_BAYES, everything, scored("bnb", "all_words")) + f"""
         SELECT id AS doc_id, prediction FROM {best('bnb_scores')}"""
+    sql["nb_full_predict"] = with_(ALL_FULL_WORDS, bayes("full_words"), scored("bnb", "all_words")) + f"""
+        SELECT id AS doc_id, prediction FROM {best('bnb_scores')}"""
     sql["nb_model_accuracy"] = with_(PLAIN_SCORES, predictions("review_words")) + """SELECT model, count(*) AS n,
         round(avg((label = prediction)::INT::DOUBLE), 6) AS accuracy FROM predictions GROUP BY model"""
     sql["nb_train_vocabulary"] = with_(TRAIN_VOCAB_SCORES, predictions("review_words")) + "SELECT * FROM predictions"

@@ -429,6 +429,18 @@ def nb_predict(spark, sf):
     return training.predict_texts(documents(spark, sf, "text"), model, key="doc_id", stem=False)
 
 
+@query
+def nb_full_predict(spark, sf):
+    """Stop words, stems, training; the model saved and loaded; every document scored the same way."""
+    prepared = nb.Preparation(stop_lists(), stem=True)
+    done = training.train_texts(
+        reviews(spark, sf), prepared, language=F.col("lang"), kinds=(nb.BERNOULLI,), labels=REVIEW_CLASSES)
+    path = new_path(spark, "model")
+    nb.save_model(done.chosen(), path)
+    return training.predict_texts(
+        documents(spark, sf, "text", "lang"), nb.load_model(spark, path), key="doc_id", language=F.col("lang"))
+
+
 @query
 def nb_gaussian_predict(spark, sf):
     """The third family of models, on Spark ML vectors over the same vocabulary."""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,11 +73,34 @@ def train_and_evaluate(
     return Training(words, models, predictions, accuracy_by(predictions, "model"))
 
 
+def train_texts(
+    reviews: DataFrame, preparation: nb.Preparation, *, text: str = "text", label: str = "label",
+    key: str = "id", language: Column | None = None, **options,
+) -> Training:
+    """``train_and_evaluate`` on texts; its models carry the preparation with them."""
+    words = reviews.filter(F.col(label).isNotNull()).select(
+        F.col(key).alias("id"), F.col(label).alias("label"),
+        preparation.words(F.col(text), language).alias("words"),
+    )
+    done = train_and_evaluate(words, **options)
+    models = {kind: replace(model, preparation=preparation) for kind, model in done.models.items()}
+    return replace(done, models=models)
+
+
 def predict_texts(
     texts: DataFrame, model: nb.NaiveBayesModel, *, text: str = "text", key: str = "id",
     language: Column | None = None,
-    stop_words: Iterable[str] | Mapping[str, Iterable[str]] = (), stem: bool = True,
+    stop_words: Iterable[str] | Mapping[str, Iterable[str]] | None = None, stem: bool | None = None,
 ) -> DataFrame:
-    """(key, prediction) for texts, prepared exactly as the training texts were."""
-    words = word_array(F.col(text), language=language, stop_words=stop_words, stem=stem)
+    """(key, prediction) for texts, prepared as the model's training texts were.
+
+    A model without a preparation of its own takes ``stop_words`` (default: none) and ``stem``
+    (default: yes); one that has it takes neither, so that training and scoring cannot differ.
+    """
+    preparation = model.preparation
+    if preparation is None:
+        preparation = nb.Preparation(() if stop_words is None else stop_words, stem is not False)
+    elif stop_words is not None or stem is not None:
+        raise ValueError("this model brings its own stop words and stemming")
+    words = preparation.words(F.col(text), language)
     return nb.predict(texts.select(key, words.alias("words")), model, key=key)

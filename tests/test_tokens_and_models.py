@@ -167,6 +167,38 @@ def test_training_plan(spark):
         training.train_and_evaluate(df, fit_on="test")
 
 
+@pytest.mark.parametrize("lists", [["que", "um"], {"pt": ["que", "um"], "en": ["the"]}])
+def test_a_model_brings_its_preparation(spark, tmp_path, lists):
+    rows = [(i, "pt", "pos" if i % 2 else "neg", "que bom filme" if i % 2 else "que ruim filme") for i in range(40)]
+    df = spark.createDataFrame(rows, "id bigint, lang string, label string, text string")
+    prepared = nb.Preparation(lists, stem=True)
+    done = training.train_texts(df, prepared, language=F.col("lang"))
+    assert "que" not in {r["term"] for r in done.chosen().vocab.collect()}
+    nb.save_model(done.chosen(), str(tmp_path / "m"))
+    again = nb.load_model(spark, str(tmp_path / "m"))
+    assert again.preparation == prepared
+    fresh = spark.createDataFrame([(1, "pt", "QUE RUINS"), (2, "pt", "bom!")], "id bigint, lang string, text string")
+    got = training.predict_texts(fresh, again, language=F.col("lang"))
+    assert {r["id"]: r["prediction"] for r in got.collect()} == {1: "neg", 2: "pos"}
+    with pytest.raises(ValueError):
+        training.predict_texts(fresh, again, language=F.col("lang"), stem=False)
+
+
+def test_stop_words_by_language_need_a_language(spark):
+    with pytest.raises(ValueError):
+        nb.Preparation({"pt": ["que"]}).words(F.col("text"))
+
+
+@pytest.mark.parametrize("per_document", [True, False])
+def test_terms_of_a_large_vocabulary_are_counted_before_the_join(spark, words, per_document):
+    vocab = tk.vocabulary(words)
+    small, large = (
+        nb.class_term_counts(words, vocab, ["neg", "pos"], per_document=per_document, max_features=n)
+        for n in (1000, dimension.MAX_BROADCAST_ROWS + 1))
+    assert small.dtypes == large.dtypes
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
+
+
 def test_row_ids_are_dense_and_ordered(spark):
     df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("k"), F.when(F.col("id") < 2000, "hot").otherwise(
         (F.col("id") % 5).cast("string")).alias("g")).repartition(6)
