@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from opinaria.llm import arrays as A
 
 SPACE = "▁"
-# Distinct parts of runs that a worker remembers at most; beyond it, it starts anew.
-REMEMBERED = 600_000
+# Distinct parts of runs, and pairs of tokens, that a worker remembers at most; beyond it, it starts anew.
+REMEMBERED = 300_000
 _RUNS = re.compile(" +[^ ]+| +$")
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 ENCODED = A.struct_type(n_tokens="long", ids="string", decoded="string")
@@ -122,7 +122,7 @@ class PrefixTable:
     def compatible(self, a: str, b: str) -> bool:
         got = self.pairs.get((a, b))
         if got is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > REMEMBERED:
                 self.pairs.clear()
             got = self.pairs[(a, b)] = self.merged(a + b) == [a, b]
         return got
@@ -259,7 +259,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model(path)
-        for batch in (part for whole in batches for part in A.slices(whole, "_text", 4 * A.SLICE_BYTES)):
+        for batch in (part for whole in batches for part in A.slices(whole, "_text")):
             n, ids, back = [], [], []
             for size, joined, decoded_text in table.encode(pc.fill_null(batch["_text"], "")):
                 n.append(size)
