@@ -235,11 +235,7 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The document with the least id of each component, with all its columns; null ids stay.
+    """Of each group of texts alike to 0.8 (``near_texts``, not the bits of this query) the one with the least id."""
+    from opinaria.llm import near_texts
 
-    Rows that repeat an id all stay or all go.
-    """
-    kept = near_duplicates(docs.filter("doc_id IS NOT NULL")).filter("_id = component").select(
-        F.col("_id").alias("doc_id")).distinct()
-    chosen = docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi")
-    return chosen.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
+    return near_texts.keep_one(docs)
