@@ -18,9 +18,12 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 # A group of fewer texts than this takes the sketch of its language, and then that of all.
 LEAST_TEXTS = 200
 SKETCH_K = 200
-# Statistic -> (distance beyond the upper quartile in quartile ranges, least slack of the fence).
-UPPER = {"symbol_share": (3.0, 0.05), "dup_line_share": (3.0, 0.3), "repeat_share": (3.0, 0.2), "mean_word": (4.0, 4.0)}
-LOWER = {"mean_word": (4.0, 3.0)}
+# A fence lies beyond the outer quantile by its distance to the inner one (of shares the median, so that a zero
+# quartile range still leaves a fence of the group), and at least by FLOOR, so that equal texts are no outliers.
+OUTER, MARGIN, FLOOR = 0.95, 1.0, 0.01
+# Statistic -> (outer quantile, inner quantile) per side.
+UPPER = {"symbol_share": (OUTER, 0.5), "dup_line_share": (OUTER, 0.5), "repeat_share": (OUTER, 0.5), "mean_word": (OUTER, 1 - OUTER)}
+LOWER = {"mean_word": (1 - OUTER, OUTER)}
 
 
 def statistics(text: Column) -> list[Column]:
@@ -99,26 +102,28 @@ def merged(parts: DataFrame, *keys: str) -> DataFrame:
 
 def fences(parts: DataFrame) -> DataFrame:
     """One row per (language, source): the lowest and highest value that each statistic may have."""
-    def quartiles(prefix: str) -> list[Column]:
-        return [F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double(F.col(c), F.lit(q))).alias(f"{prefix}_{c}_{n}")
-                for c in STATISTICS for q, n in ((0.25, "low"), (0.75, "high"))]
-
-    own = parts.select("_lang", "_source", F.col("n").alias("n_own"), *quartiles("own"))
-    by_lang = merged(parts, "_lang").select("_lang", F.col("n").alias("n_lang"), *quartiles("lang"))
-    # Eight numbers, whatever the input: of everything, for languages with few texts.
-    everything = merged(parts).select(*quartiles("all")).first().asDict()
+    asked = sorted({(c, q) for side in (UPPER, LOWER) for c, both in side.items() for q in both})
+
+    def quantiles(prefix: str) -> list[Column]:
+        return [F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double(F.col(c), F.lit(q))).alias(f"{prefix}_{i}")
+                for i, (c, q) in enumerate(asked)]
+
+    own = parts.select("_lang", "_source", F.col("n").alias("n_own"), *quantiles("own"))
+    by_lang = merged(parts, "_lang").select("_lang", F.col("n").alias("n_lang"), *quantiles("lang"))
+    # Eight numbers at most, whatever the input: of everything, for languages with few texts.
+    everything = merged(parts).select(*quantiles("all")).first().asDict()
     joined = own.alias("o").join(by_lang.alias("l"), F.expr("o._lang <=> l._lang")).select(
         "o.*", *(c for c in by_lang.columns if c != "_lang"))
 
-    def chosen(c: str, n: str) -> Column:
-        return F.when(F.col("n_own") >= LEAST_TEXTS, F.col(f"own_{c}_{n}")).when(
-            F.col("n_lang") >= LEAST_TEXTS, F.col(f"lang_{c}_{n}")).otherwise(
-                F.lit(everything[f"all_{c}_{n}"]).cast("double"))
+    def chosen(c: str, q: float) -> Column:
+        i = asked.index((c, q))
+        return F.when(F.col("n_own") >= LEAST_TEXTS, F.col(f"own_{i}")).when(
+            F.col("n_lang") >= LEAST_TEXTS, F.col(f"lang_{i}")).otherwise(F.lit(everything[f"all_{i}"]).cast("double"))
 
-    def fence(c: str, side: str, far: float, slack: float) -> Column:
-        low, high = chosen(c, "low"), chosen(c, "high")
-        reach = F.greatest(F.lit(far) * (high - low), F.lit(slack))
-        return (high + reach if side == "upper" else low - reach).alias(f"{side}_{c}")
+    def fence(c: str, side: str, outer: float, inner: float) -> Column:
+        at = chosen(c, outer)
+        reach = F.greatest(F.lit(MARGIN) * F.abs(at - chosen(c, inner)), F.lit(FLOOR))
+        return (at + reach if side == "upper" else at - reach).alias(f"{side}_{c}")
 
     return joined.select("_lang", "_source", *(fence(c, "upper", *v) for c, v in UPPER.items()),
                          *(fence(c, "lower", *v) for c, v in LOWER.items()))
