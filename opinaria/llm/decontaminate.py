@@ -48,11 +48,12 @@ def word_facts(words: list[str]) -> tuple[list[str], np.ndarray]:
     return bare, columns
 
 
-def templates(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, list[str]]:
+def templates(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
     """Both forms of all texts, which words are slots in the typed form, words per text, and bare words.
 
     Form 0 has slots for numbers and units, form 1 for names as well: a text in other letter case shows
-    its names in form 0 only. The last two give the code of every word and the words of the codes.
+    its names in form 0 only. The last three give the code of every word, the words of the codes, and the
+    hash of every word itself.
     """
     words, lengths = A.text_words(texts)
     coded = words.dictionary_encode()
@@ -72,23 +73,26 @@ def templates(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray
     plain = np.where(number, np.uint64(NUMBER), np.where(unit, np.uint64(UNIT), rows[:, 0]))
     typed = np.where(name, np.uint64(NAME), plain)
     slots = np.stack([number | unit, number | unit | name])
-    return [plain, typed], slots, np.bincount(docs, minlength=len(lengths)), at, bare
+    return [plain, typed], slots, np.bincount(docs, minlength=len(lengths)), at, bare, rows[:, 0]
 
 
 def window_rows(batch: pa.RecordBatch, sizes: list[int], sift: dict[int, np.ndarray] | None) -> Iterator[pa.RecordBatch]:
     """Template windows of the given sizes; ``sift`` holds the sorted hashes per size that are looked for."""
-    forms, slots, lengths, words, bare = templates(batch["_text"])
+    forms, slots, lengths, words, bare, own = templates(batch["_text"])
     ids = np.asarray(pc.fill_null(batch["_id"], 0))
     docs = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)
     start = A.starts_of(lengths)
     for form, codes in enumerate(forms):
-        rolling = A.Rolling(A.mix(codes))
+        rolling, exact = A.Rolling(A.mix(codes)), A.Rolling(A.mix(own))
         literal = np.concatenate([[0], np.cumsum(~slots[form])])
         for size in sizes:
             keys = A.signed(rolling.all_runs(size))
             if not len(keys):
                 continue
-            ok = (docs[: len(keys)] == docs[size - 1 :]) & (literal[size:] - literal[: len(keys)] >= min(LEAST_LITERALS, size))
+            # Windows with hardly a literal tell by their values only.
+            dense = literal[size:] - literal[: len(keys)] < min(LEAST_LITERALS, size)
+            keys = np.where(dense, A.signed(exact.all_runs(size)), keys)
+            ok = docs[: len(keys)] == docs[size - 1 :]
             if sift is not None:
                 wanted = sift[size]
                 place = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
@@ -118,7 +122,7 @@ def item_sizes(texts: DataFrame) -> DataFrame:
     """(_id, words): the template words of each item."""
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, _, lengths, _, _ = templates(batch["_text"])
+            _, _, lengths, *_ = templates(batch["_text"])
             yield pa.RecordBatch.from_arrays([batch["_id"], pa.array(lengths.astype(np.int32))], names=["_id", "words"])
 
     return texts.mapInArrow(counted, "_id long, words int")
@@ -133,7 +137,8 @@ def contaminated(
     A passage is a run of at least 13 template words of the item, or all of a shorter one (of 5 words
     or more; fewer tell nothing), whose slots map one to one: an item value always to the same
     document value, different ones to different ones. ``n_words`` is the longest run, ``n_slots`` its
-    slots' values, ``exact`` whether none differs. Null and empty texts and items match nothing, nor do
+    slots' values, ``exact`` whether none differs. A window with fewer than 4 words besides its slots
+    matches the same words only, not other values. Null and empty texts and items match nothing, nor do
     rows without an id. Rows of one id count as one document. Empty tables give an empty table.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).filter("_id IS NOT NULL")
