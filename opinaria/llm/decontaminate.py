@@ -31,6 +31,7 @@ UNITS = frozenset((
     "pounds", "degrees", "€", "$", "£", "jahre", "stunden", "tage", "años", "horas", "días", "heures", "jours", "ans",
 ))
 WINDOWS = "_id long, form int, size int, at int, h long, slots array<string>"
+PASSAGES = "doc_id long, item_id long, n_words int, n_slots int, exact boolean"
 
 
 def word_facts(words: list[str]) -> tuple[list[str], np.ndarray]:
@@ -128,6 +129,47 @@ def item_sizes(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(counted, "_id long, words int")
 
 
+def consistent(windows: list[tuple[int, list[str], list[str]]]) -> tuple[int, int, bool] | None:
+    """(windows, slot values, exact) of neighbouring windows whose slots map one to one, else None."""
+    pairs = {pair for _, mine, theirs in windows for pair in zip(mine, theirs, strict=True)}
+    if len({a for a, _ in pairs}) < len(pairs) or len({b for _, b in pairs}) < len(pairs):
+        return None
+    return len({w[0] for w in windows}), len(pairs), all(a == b for a, b in pairs)
+
+
+def neighbours(windows: list[tuple[int, list[str], list[str]]]) -> Iterator[list[tuple[int, list[str], list[str]]]]:
+    """Stretches of windows at places without a gap."""
+    run: list[tuple[int, list[str], list[str]]] = []
+    for window in sorted(windows):
+        if run and window[0] > run[-1][0] + 1:
+            yield run
+            run = []
+        run.append(window)
+    if run:
+        yield run
+
+
+def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The longest passage of each alignment of a document and an item, if it is long enough."""
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            best = None
+            for run in neighbours([(w["item_at"], w["item_slots"], w["slots"]) for w in row["found"]]):
+                whole = consistent(run)
+                # Where values conflict, the parts that hold the item's own values still count.
+                parts = [whole] if whole else map(consistent, neighbours([w for w in run if w[1] == w[2]]))
+                for n, values, exact in filter(None, parts):
+                    n += row["size"] - 1
+                    if n >= min(LEAST_RUN, row["words"]):
+                        best = max(best or (0, False, 0), (n, exact, values))
+            if best:
+                out.append({"doc_id": row["doc_id"], "item_id": row["item_id"], "n_words": best[0],
+                            "n_slots": best[2], "exact": best[1]})
+        yield pa.RecordBatch.from_pylist(out, pa.schema([
+            ("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_words", pa.int32()), ("n_slots", pa.int32()), ("exact", pa.bool_())]))
+
+
 def contaminated(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     item_id: str = "item_id", item_text: str = "text", most_sifted: int = MOST_SIFTED,
@@ -136,7 +178,8 @@ def contaminated(
 
     A passage is a run of at least 13 template words of the item, or all of a shorter one (of 5 words
     or more; fewer tell nothing), whose slots map one to one: an item value always to the same
-    document value, different ones to different ones. ``n_words`` is the longest run, ``n_slots`` its
+    document value, different ones to different ones. Each run is judged by itself; of one whose slots
+    conflict, parts of that length with the item's own values count, parts with other values do not. ``n_words`` is the longest run, ``n_slots`` its
     slots' values, ``exact`` whether none differs. A window with fewer than 4 words besides its slots
     matches the same words only, not other values. Null and empty texts and items match nothing, nor do
     rows without an id. Rows of one id count as one document. Empty tables give an empty table.
@@ -156,23 +199,11 @@ def contaminated(
         sift = {s: np.sort(np.array([r[1] for r in known if r[0] == s] or [0], dtype=np.int64)) for s in sizes}
     found = windows_of(rows, sizes, sift)
     pairs = found.join(F.broadcast(mine) if small else mine.hint("merge"), ["form", "size", "h"])
-    runs = pairs.groupBy("form", "_id", "item", (F.col("at") - F.col("item_at")).alias("shift")).agg(
-        F.collect_set("item_at").alias("places"), F.first("words").alias("words"), F.first("size").alias("size"),
-        F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("item_slots", "slots")))).alias("values"))
-    a = F.transform("values", lambda v: v["item_slots"])
-    b = F.transform("values", lambda v: v["slots"])
-    one_to_one = (F.size(F.array_distinct(a)) == F.size("values")) & (F.size(F.array_distinct(b)) == F.size("values"))
-    # The longest run of neighbouring windows, in words.
-    longest = F.aggregate(
-        F.array_sort("places"), F.struct(F.lit(-9).alias("last"), F.lit(0).alias("now"), F.lit(0).alias("best")),
-        lambda acc, x: F.struct(
-            x.alias("last"), F.when(x == acc["last"] + 1, acc["now"] + 1).otherwise(F.lit(1)).alias("now"),
-            F.greatest(acc["best"], F.when(x == acc["last"] + 1, acc["now"] + 1).otherwise(F.lit(1))).alias("best")),
-        lambda acc: acc["best"])
-    judged = runs.filter(one_to_one).select(
-        F.col("_id").alias("doc_id"), F.col("item").alias("item_id"), (longest + F.col("size") - 1).alias("n_words"),
-        F.size("values").alias("n_slots"), (~F.exists("values", lambda v: v["item_slots"] != v["slots"])).alias("exact"),
-        "words").filter(F.col("n_words") >= F.least(F.lit(LEAST_RUN), "words"))
+    aligned = pairs.groupBy("form", F.col("_id").alias("doc_id"), F.col("item").alias("item_id"),
+                            (F.col("at") - F.col("item_at")).alias("shift")).agg(
+        F.first("words").alias("words"), F.first("size").alias("size"),
+        F.collect_set(F.struct("item_at", "item_slots", "slots")).alias("found"))
+    judged = aligned.select("doc_id", "item_id", "words", "size", "found").mapInArrow(judge, PASSAGES)
     best = judged.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_words", "exact", "n_slots")).alias("m"))
     return best.select("doc_id", "item_id", "m.n_words", "m.n_slots", "m.exact")
 

@@ -16,3 +16,16 @@ def test_verbatim_items_full_of_numbers(spark, texts):
     docs += ["Some prose. What is 12 + 45 + 7 - 3 + 8? More.", "prose 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15"]
     got = hits(spark, texts, items, docs)
     assert set(got) == {(0, 0), (1, 1), (2, 2)} and all(r["exact"] for r in got.values())
+
+
+def test_one_edited_number_leaves_the_rest_of_a_long_passage(spark, texts):
+    words = [f"{chr(97 + k // 26)}{chr(97 + k % 26)}word" for k in range(50)]
+    words[5], words[20], words[44] = "5", "3", "5"
+    item = " ".join(words)
+    changed, equal, both = list(words), list(words), list(words)
+    changed[44] = "7"
+    equal[20] = "5"
+    both[5], both[20], both[44] = "4", "4", "4"
+    got = hits(spark, texts, [item], [item, " ".join(changed), " ".join(equal), " ".join(both)])
+    assert set(got) == {(0, 0), (1, 0), (2, 0), (3, 0)} and all(r["exact"] for r in got.values())
+    assert got[(1, 0)]["n_words"] == 44 and got[(0, 0)]["n_words"] == 50
