@@ -1,6 +1,6 @@
 """Benchmark decontamination by templates: passages of benchmark items, also with other values filled in.
 
-Words become a template: numbers, units after them and names inside a sentence are typed slots, the
+Words become a template: numbers, units after them and names are typed slots, the
 rest is lower-cased and loses its punctuation. Windows of template words are hash-joined with those of
 the items; a run of matching windows counts if the slots of item and document map one to one.
 """
@@ -8,6 +8,7 @@ the items; a run of matching windows counts if the slots of item and document ma
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -49,12 +50,23 @@ def word_facts(words: list[str]) -> tuple[list[str], np.ndarray]:
     return bare, columns
 
 
-def templates(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
-    """Both forms of all texts, which words are slots in the typed form, words per text, and bare words.
+class Form(NamedTuple):
+    """The template words of all texts in one form: codes, own hashes, which are slots, words per text, first and last bare word."""
 
-    Form 0 has slots for numbers and units, form 1 for names as well: a text in other letter case shows
-    its names in form 0 only. The last three give the code of every word, the words of the codes, and the
-    hash of every word itself.
+    codes: np.ndarray
+    own: np.ndarray
+    slots: np.ndarray
+    lengths: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+
+
+def templates(texts: pa.Array) -> tuple[list[Form], np.ndarray, list[str]]:
+    """The forms of all texts, the code of every bare word, and the words of the codes.
+
+    Form 0 has slots for numbers and units, form 1 for names inside a sentence as well: a text in other
+    letter case shows its names in form 0 only. In form 2 capitals that begin a sentence are names too,
+    and neighbouring names of a sentence are one slot.
     """
     words, lengths = A.text_words(texts)
     coded = words.dictionary_encode()
@@ -73,19 +85,31 @@ def templates(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray
     name = (rows[:, 4] == 1) & ~begins & ~number & ~unit
     plain = np.where(number, np.uint64(NUMBER), np.where(unit, np.uint64(UNIT), rows[:, 0]))
     typed = np.where(name, np.uint64(NAME), plain)
-    slots = np.stack([number | unit, number | unit | name])
-    return [plain, typed], slots, np.bincount(docs, minlength=len(lengths)), at, bare, rows[:, 0]
+    each = np.arange(len(docs))
+    sizes = np.bincount(docs, minlength=len(lengths))
+    capital = (rows[:, 4] == 1) & ~number & ~unit
+    goes_on = np.zeros(len(docs), dtype=bool)
+    goes_on[1:] = capital[1:] & capital[:-1] & ~begins[1:]
+    first = np.flatnonzero(~goes_on)
+    last = np.concatenate([first[1:] - 1, [len(docs) - 1]]) if len(docs) else first
+    whole = A.Rolling(A.mix(rows[:, 0])).runs(first, last + 1)
+    folded = np.where(capital, np.uint64(NAME), plain)[first]
+    return [
+        Form(plain, rows[:, 0], number | unit, sizes, each, each),
+        Form(typed, rows[:, 0], number | unit | name, sizes, each, each),
+        Form(folded, whole, (number | unit | capital)[first], np.bincount(docs[first], minlength=len(lengths)), first, last),
+    ], at, bare
 
 
 def window_rows(batch: pa.RecordBatch, sizes: list[int], sift: dict[int, np.ndarray] | None) -> Iterator[pa.RecordBatch]:
     """Template windows of the given sizes; ``sift`` holds the sorted hashes per size that are looked for."""
-    forms, slots, lengths, words, bare, own = templates(batch["_text"])
+    forms, words, bare = templates(batch["_text"])
     ids = np.asarray(pc.fill_null(batch["_id"], 0))
-    docs = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)
-    start = A.starts_of(lengths)
-    for form, codes in enumerate(forms):
+    for form, (codes, own, slots, lengths, first, last) in enumerate(forms):
+        docs = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)
+        start = A.starts_of(lengths)
         rolling, exact = A.Rolling(A.mix(codes)), A.Rolling(A.mix(own))
-        literal = np.concatenate([[0], np.cumsum(~slots[form])])
+        literal = np.concatenate([[0], np.cumsum(~slots)])
         for size in sizes:
             keys = A.signed(rolling.all_runs(size))
             if not len(keys):
@@ -101,7 +125,8 @@ def window_rows(batch: pa.RecordBatch, sizes: list[int], sift: dict[int, np.ndar
             for chosen in np.array_split(at := np.flatnonzero(ok), max(1, len(at) // 50_000)):
                 if not len(chosen):
                     continue
-                inside = [[bare[words[j]] for j in range(p, p + size) if slots[form, j]] for p in chosen.tolist()]
+                inside = [[" ".join(bare[k] for k in words[first[j] : last[j] + 1]) for j in range(p, p + size) if slots[j]]
+                          for p in chosen.tolist()]
                 owner = docs[chosen]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(ids[owner]), pa.array(np.full(len(chosen), form, np.int32)),
@@ -120,13 +145,15 @@ def windows_of(texts: DataFrame, sizes: list[int], sift: dict[int, np.ndarray] |
 
 
 def item_sizes(texts: DataFrame) -> DataFrame:
-    """(_id, words): the template words of each item."""
+    """(_id, form, words): the template words of each item in each form."""
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, _, lengths, *_ = templates(batch["_text"])
-            yield pa.RecordBatch.from_arrays([batch["_id"], pa.array(lengths.astype(np.int32))], names=["_id", "words"])
+            for form, parts in enumerate(templates(batch["_text"])[0]):
+                kind = pa.array(np.full(batch.num_rows, form, np.int32))
+                yield pa.RecordBatch.from_arrays([batch["_id"], kind, pa.array(parts.lengths.astype(np.int32))],
+                                                 names=["_id", "form", "words"])
 
-    return texts.mapInArrow(counted, "_id long, words int")
+    return texts.mapInArrow(counted, "_id long, form int, words int")
 
 
 def consistent(windows: list[tuple[int, list[str], list[str]]]) -> tuple[int, int, bool] | None:
@@ -189,7 +216,7 @@ def contaminated(
     lengths = written(item_sizes(asked).filter(F.col("words") >= LEAST_WORDS), "item-sizes")
     short = [r[0] for r in lengths.filter(F.col("words") < WINDOW).select("words").distinct().collect()]
     sizes = sorted({*short, WINDOW})
-    mine = windows_of(asked, sizes).join(lengths, "_id").filter(
+    mine = windows_of(asked, sizes).join(lengths, ["_id", "form"]).filter(
         (F.col("size") == F.least(F.lit(WINDOW), "words"))).withColumnsRenamed(
         {"_id": "item", "at": "item_at", "slots": "item_slots"})
     mine = written(mine, "item-windows")
