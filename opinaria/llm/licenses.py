@@ -6,9 +6,17 @@ and hash-joined with the digests of the known texts in the same form. Only DataF
 
 from __future__ import annotations
 
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+def package_texts() -> list[tuple[str, str]]:
+    """The texts of ``license_texts``: files named by SPDX id, and by what they hold after a plus sign."""
+    files = sorted(resources.files("opinaria.llm").joinpath("license_texts").iterdir(), key=lambda f: f.name)
+    return [(f.name.removesuffix(".txt").split("+")[0], f.read_text("utf-8")) for f in files if f.name.endswith(".txt")]
+
+
 # Published licence texts and notices, under their SPDX ids.
 _GRANT = (
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
@@ -58,6 +66,7 @@ KNOWN = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
+    *package_texts(),
 )
 # Spellings that licence matching guidelines treat as equal, applied in this order.
 SPELLINGS = (
