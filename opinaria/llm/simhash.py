@@ -145,8 +145,9 @@ def near_links(points: DataFrame) -> DataFrame:
     """(a, b): pairs of fingerprints that link, enough of them to join all that links join.
 
     Cells of up to BLOCK points give every pair at most 4 bits apart once, in the first grid that the
-    two share. Larger cells are dealt into blocks, and each pair of blocks gives chains, so their pairs
-    grow with the points and not with the square.
+    two share. Larger cells are dealt into blocks, and each pair of blocks gives chains. The chains given
+    grow with the points, but the rows shuffled to units (n * n / BLOCK) and the comparisons in them
+    (n * n) grow with the square of a cell.
     """
     placed = cells(points)
     sizes = placed.groupBy("grid", "cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
