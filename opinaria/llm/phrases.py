@@ -25,11 +25,10 @@ from pyspark.sql.window import Window
 
 from opinaria.llm import arrays as A
 from opinaria.llm.steps import written
-from opinaria.operators.dimension import lookup_join
 
 # The bytes that end a piece.
 BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
-SHARDS, SLICE_BYTES = 3, 12_000_000
+SHARDS, SLICE_BYTES, BATCH = 3, 6_000_000, 100_000
 # Bits of the bitmap; a driver and a task hold an eighth as many bytes.
 FILTER_BITS = 26
 _FOLD = bytes(ord(".") if c in BREAKS else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -58,11 +57,14 @@ class Mining:
 
 @dataclass
 class Words:
-    """The words of a slice as codes; ``last`` marks, for each word, the end of its piece."""
+    """The words of a slice as codes into its dictionary, whose hashes are ``hashes``.
+
+    For each word, ``group`` names its text's group and ``room`` the words left in its piece.
+    """
 
     dictionary: pa.Array
-    codes: np.ndarray
     hashes: np.ndarray
+    codes: np.ndarray
     group: np.ndarray
     room: np.ndarray
 
@@ -71,9 +73,9 @@ class Words:
         return np.flatnonzero(self.room >= length)
 
     def run_hashes(self, starts: np.ndarray, length: int) -> np.ndarray:
-        found = self.hashes[starts]
+        found = self.hashes[self.codes[starts]]
         for j in range(1, length):
-            found = A.mix(found * _STEP + self.hashes[starts + j])
+            found = A.mix(found * _STEP + self.hashes[self.codes[starts + j]])
         return found
 
 
@@ -108,22 +110,21 @@ def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterat
 
 def words_of(texts: list[bytes], groups: np.ndarray) -> Words:
     """Words by code, with the number of words left in the piece from each of them on."""
-    # Texts end with a break of their own; a line feed, which no folded text holds, ends a text.
-    joined = b" \n ".join(t.replace(b".", b" . ") for t in texts) + b" \n "
-    found = pc.split_pattern(pa.array([joined.replace(b"\t", b" ").decode()], pa.large_string()), " ").flatten()
+    # A line feed, which no folded text holds, ends a text.
+    joined = (b" \n ".join(t.replace(b".", b" . ") for t in texts) + b" \n ").replace(b"\t", b" ").decode()
+    found = pc.split_pattern(pa.array([joined], pa.large_string()), " ").flatten()
+    del joined
     coded = found.filter(pc.not_equal(found, "")).dictionary_encode()
-    if isinstance(coded, pa.ChunkedArray):
-        coded = coded.combine_chunks()
-    dictionary = coded.dictionary
-    codes = np.asarray(coded.indices).astype(np.int64)
+    del found
+    dictionary, codes = coded.dictionary, np.asarray(coded.indices)
     of_text, of_piece = (pc.index(dictionary, mark).as_py() for mark in ("\n", "."))
     text_end = codes == of_text
-    stop = text_end | (codes == of_piece)
-    at = np.arange(len(codes))
-    room = np.minimum.accumulate(np.where(stop, at, len(codes))[::-1])[::-1] - at
-    group = groups[np.cumsum(text_end) - text_end]
-    distinct = [xxhash.xxh64_intdigest(w) for w in pc.cast(dictionary, pa.large_binary()).to_pylist()]
-    return Words(dictionary, codes, np.array(distinct, dtype=np.uint64)[codes], group, room)
+    at = np.arange(len(codes), dtype=np.int32)
+    stops = np.where(text_end | (codes == of_piece), at, len(codes)).astype(np.int32)
+    room = np.minimum.accumulate(stops[::-1])[::-1] - at
+    group = groups.astype(np.int32)[np.cumsum(text_end, dtype=np.int32) - text_end]
+    hashes = [xxhash.xxh64_intdigest(w) for w in pc.cast(dictionary, pa.large_binary()).to_pylist()]
+    return Words(dictionary, np.array(hashes, dtype=np.uint64), codes, group, room)
 
 
 def salts(marks: list[tuple]) -> np.ndarray:
@@ -185,7 +186,8 @@ def locally_frequent(texts: DataFrame, length: int, shorter: Broadcast | None, p
             if len(keys):
                 first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
                 n = np.diff(np.append(first, len(keys)))
-                yield pa.RecordBatch.from_arrays([pa.array(A.signed(keys[first])), pa.array(n)], names=["key", "n"])
+                found = pa.RecordBatch.from_arrays([pa.array(A.signed(keys[first])), pa.array(n)], names=["key", "n"])
+                yield from (found.slice(a, BATCH) for a in range(0, len(first), BATCH))
 
     rows = texts.mapInArrow(counted, "key long, n long")
     return rows.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= plan.local_support).select("key")
@@ -214,15 +216,15 @@ def phrase_counts(texts: DataFrame, candidates: Broadcast, plan: Mining) -> Data
                 ids = words.group[starts].astype(np.int64)
                 for j in range(length):
                     if int(ids.max()) >= (1 << 62) // len(words.dictionary):
-                        ids = np.unique(ids, return_inverse=True)[1]
+                        ids = np.unique(ids, return_inverse=True)[1].astype(np.int64)
                     ids = ids * len(words.dictionary) + words.codes[starts + j]
                 _, at, n = np.unique(ids, return_index=True, return_counts=True)
                 at = starts[at]
                 phrase = words.dictionary.take(pa.array(words.codes[at]))
                 for j in range(1, length):
                     phrase = pc.binary_join_element_wise(phrase, words.dictionary.take(pa.array(words.codes[at + j])), pa.scalar(" ", phrase.type))
-                for a in range(0, len(at), 100_000):
-                    b = min(len(at), a + 100_000)
+                for a in range(0, len(at), BATCH):
+                    b = min(len(at), a + BATCH)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(langs[words.group[at[a:b]]].tolist(), pa.string()), phrase.slice(a, b - a).cast(pa.string()),
                          pa.array(np.full(b - a, length, np.int32)), pa.array(n[a:b].astype(np.int64))],
@@ -250,7 +252,7 @@ def cut_scores(counts: DataFrame, plan: Mining) -> DataFrame:
         F.array_join(F.slice(words, F.col("k") + 1, F.col("size") - F.col("k")), " ").alias("rest"))
     left = counts.select("lang", F.col("phrase").alias("first"), F.col("n").alias("l"))
     right = counts.select("lang", F.col("phrase").alias("rest"), F.col("n").alias("r"))
-    both = lookup_join(lookup_join(cuts, left, ["lang", "first"]), right, ["lang", "rest"])
+    both = cuts.join(left.hint("merge"), ["lang", "first"]).join(right.hint("merge"), ["lang", "rest"])
     product = both.select("lang", "phrase", "size", "a", "k", "l", "r",
                           (F.lit(1_000_000).cast("decimal(7,0)") * _wide("a") * _wide("a")).cast("decimal(38,0)").alias("above"),
                           (_wide("l") * _wide("r")).cast("decimal(38,0)").alias("below"))
