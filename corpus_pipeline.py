@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinaria.llm import classifier, debruijn, decontaminate, near_texts, pieces, queries
+from opinaria.llm import classifier, debruijn, decontaminate, pieces, queries, simhash
 from opinaria.sources.scratch import materialise
 from opinaria.sources.shipping import ship_package
 from opinaria.sources.tables import read_table
@@ -27,9 +27,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (5-word shingles, Jaccard 0.8) the document with the least id stays."""
+    """Of each group of near-duplicates (4-word shingles, 4 bits of their SimHash) the document with the least id stays."""
     ship_package(spark)
-    return near_texts.keep_one(docs)
+    return simhash.keep_one(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
