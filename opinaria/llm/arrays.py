@@ -5,6 +5,7 @@ All of them work on slices of bounded size, so that a task's memory does not fol
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,15 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterato
         yield batch.slice(a, b - a)
 
 
+def give_back() -> None:
+    """Return to the system what earlier work of this worker process keeps: tables, Arrow's and C's free memory."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def mix(values: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values whose high bits depend on all bits."""
     values = values ^ (values >> np.uint64(33))

@@ -28,7 +28,7 @@ from opinaria.llm.steps import written
 
 # The bytes that end a piece.
 BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
-SHARDS, SLICE_BYTES, BATCH = 3, 6_000_000, 100_000
+SHARDS, SLICE_BYTES, BATCH = 3, 4_000_000, 100_000
 # Bits of the bitmap; a driver and a task hold an eighth as many bytes.
 FILTER_BITS = 26
 _FOLD = bytes(ord(".") if c in BREAKS else c + 32 if 65 <= c <= 90 else c for c in range(256))

@@ -258,6 +258,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     """(_id, n_tokens, ids_sha256, decoded_sha256): the strings are digested where they are made."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        A.give_back()
         table = model(path)
         for batch in (part for whole in batches for part in A.slices(whole, "_text", 4 * A.SLICE_BYTES)):
             n, ids, back = [], [], []

@@ -1,14 +1,18 @@
 """SimHash near-duplicates: fingerprints, links found in a space of segment bit counts, components.
 
 A fingerprint is mapped to the bit counts of its 32 two-bit segments. Fingerprints that differ in at
-most 4 bits are at most 4 apart there under Manhattan distance, so of seven groups of segments at
-least three are equal coordinate by coordinate: points are dealt to the 35 grids which three groups
-span, and only points in one cell are compared, first by the Manhattan distance and then bit by bit.
+most 4 bits are at most 4 apart there under Manhattan distance, so their counts differ in 4 segments at
+most, and of eight groups of segments at least four are equal coordinate by coordinate: points are dealt
+to the 70 grids which four groups span, and only points in one cell are compared, first by the Manhattan
+distance and then bit by bit. The points of a large cell agree on its groups; among the other segments
+the same holds for six smaller groups, of which two at least are equal, so the cell is dealt to 15 finer
+grids, and a large cell of those once more.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -20,8 +24,10 @@ from pyspark.sql import functions as F
 from opinaria.llm.steps import written
 from opinaria.sources.scratch import materialise
 
-SHINGLE, MOST_BITS, SEGMENT_BITS, GROUPS = 4, 4, 2, 7
-# A cell with more points is compared in blocks of this many, each pair of blocks a unit of its own.
+SHINGLE, MOST_BITS, SEGMENT_BITS, SEGMENTS = 4, 4, 2, 32
+# Groups of a grid's free segments, level by level: all but MOST_BITS of them are equal in linked points.
+GROUPS = (8, 6, 6)
+# A cell with more points is dealt to finer grids; on the last level it is compared in blocks of this many.
 BLOCK = 512
 LOW_BITS = 0x5555555555555555
 
@@ -76,32 +82,56 @@ def manhattan(a: Column, b: Column) -> Column:
     return F.bit_count(ones) + 2 * F.bit_count(twos)
 
 
-def group_masks() -> list[int]:
-    """For each grid, the bits of the packed counts that make its cell."""
-    cuts = [round(i * 32 / GROUPS) for i in range(GROUPS + 1)]
-    groups = [sum(3 << (SEGMENT_BITS * s) for s in range(a, b)) for a, b in zip(cuts, cuts[1:], strict=False)]
-    return [x | y | z for x, y, z in combinations(groups, GROUPS - MOST_BITS)]
+def finer(fixed: frozenset[int], groups: int) -> list[frozenset[int]]:
+    """The segments that each grid below a grid fixes: its own and all but MOST_BITS groups of the free ones."""
+    free = [s for s in range(SEGMENTS) if s not in fixed]
+    cuts = [round(i * len(free) / groups) for i in range(groups + 1)]
+    parts = [free[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [fixed.union(*chosen) for chosen in combinations(parts, groups - MOST_BITS)]
 
 
-def as_long(mask: int) -> int:
+def grids() -> list[list[frozenset[int]]]:
+    """The fixed segments of the grids of each level; those below grid i of a level follow one another."""
+    levels = [finer(frozenset(), GROUPS[0])]
+    for groups in GROUPS[1:]:
+        levels.append([below for fixed in levels[-1] for below in finer(fixed, groups)])
+    return levels
+
+
+def mask_of(fixed: frozenset[int]) -> int:
+    """The bits of the packed counts that make a cell, as a long."""
+    mask = sum(3 << (SEGMENT_BITS * s) for s in fixed)
     return mask - (1 << 64) if mask >> 63 else mask
 
 
 def first_grid(a: Column, b: Column) -> Column:
-    """The number of the first grid in which two points share a cell."""
+    """The number of the first grid of the first level in which two points share a cell."""
     apart = a.bitwiseXOR(b)
-    tests = [F.when(apart.bitwiseAND(F.lit(as_long(m))) == 0, F.lit(i)) for i, m in enumerate(group_masks())]
+    tests = [F.when(apart.bitwiseAND(F.lit(mask_of(m))) == 0, F.lit(i)) for i, m in enumerate(grids()[0])]
     return F.coalesce(*tests)
 
 
 def cells(points: DataFrame) -> DataFrame:
-    """(fp, counts, grid, cell): every distinct fingerprint in each of the grids."""
+    """(fp, counts, grid, cell): every distinct fingerprint in each grid of the first level."""
     counts = points.withColumn("counts", segment_counts(F.col("fp")))
-    spans = [F.struct(F.lit(i).alias("grid"), F.col("counts").bitwiseAND(F.lit(as_long(m))).alias("cell"))
-             for i, m in enumerate(group_masks())]
+    spans = [F.struct(F.lit(i).alias("grid"), F.col("counts").bitwiseAND(F.lit(mask_of(m))).alias("cell"))
+             for i, m in enumerate(grids()[0])]
     return counts.select("fp", "counts", F.inline(F.array(*spans)))
 
 
+def finer_cells(large: DataFrame, level: int) -> DataFrame:
+    """(fp, counts, grid, cell) of points in large cells, in the grids below theirs.
+
+    The grids of a level are a fixed number: 1,050 and 15,750.
+    """
+    masks = grids()[level]
+    below = len(masks) // len(grids()[level - 1])
+    table = large.sparkSession.createDataFrame(
+        [(i // below, i, mask_of(m)) for i, m in enumerate(masks)], "grid int, finer int, mask long")
+    return large.select("fp", "counts", "grid").join(F.broadcast(table), "grid").select(
+        "fp", "counts", F.col("finer").alias("grid"), F.col("counts").bitwiseAND(F.col("mask")).alias("cell"))
+
+
 def chained_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links inside each unit (unit: grid, cell, pair of blocks) that join the same points as all links do.
 
@@ -141,38 +171,57 @@ def chained_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield links(table)
 
 
-def near_links(points: DataFrame) -> DataFrame:
-    """(a, b): pairs of fingerprints that link, enough of them to join all that links join.
+def cell_pairs(small: DataFrame, per_first: int) -> DataFrame:
+    """(a, b): the links inside cells, each only where the first grid that both points share leads.
 
-    Cells of up to BLOCK points give every pair at most 4 bits apart once, in the first grid that the
-    two share. Larger cells are dealt into blocks, and each pair of blocks gives chains. The chains given
-    grow with the points, but the rows shuffled to units (n * n / BLOCK) and the comparisons in them
-    (n * n) grow with the square of a cell.
+    ``per_first`` is the number of grids below one of the first level.
     """
-    placed = cells(points)
-    sizes = placed.groupBy("grid", "cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = written(placed.join(sizes.hint("merge"), ["grid", "cell"]), "simhash-cells")
-    small = shared.filter(F.col("n") <= BLOCK).drop("n")
     other = small.select("grid", "cell", F.col("fp").alias("fp_2"), F.col("counts").alias("counts_2"))
     close = (
         (F.col("fp") < F.col("fp_2"))
         & (manhattan(F.col("counts"), F.col("counts_2")) <= MOST_BITS)
         & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_2"))) <= MOST_BITS)
-        & (F.col("x.grid") == first_grid(F.col("counts"), F.col("counts_2")))
+        & (F.floor(F.col("x.grid") / per_first) == first_grid(F.col("counts"), F.col("counts_2")))
     )
-    pairs = small.alias("x").join(
+    return small.alias("x").join(
         other.alias("y").hint("merge"),
         (F.col("x.grid") == F.col("y.grid")) & (F.col("x.cell") == F.col("y.cell")) & close,
     ).select(F.col("fp").alias("a"), F.col("fp_2").alias("b"))
-    large = shared.filter(F.col("n") > BLOCK)
+
+
+def block_chains(large: DataFrame) -> DataFrame:
+    """(a, b): chains that join what the links inside large cells join, found block by block."""
     n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("fp"), n_blocks).cast("int")
     units = large.withColumn("own", own).select("fp", "grid", "cell", "own", F.explode(
         F.sequence(F.lit(0), n_blocks - 1)).alias("other")).select(
         "fp", "grid", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     parts = units.repartition(F.col("grid"), F.col("cell"), F.col("i"), F.col("j"))
-    chains = parts.sortWithinPartitions("grid", "cell", "i", "j").mapInArrow(chained_links, "a long, b long")
-    return pairs.unionByName(chains).distinct()
+    return parts.sortWithinPartitions("grid", "cell", "i", "j").mapInArrow(chained_links, "a long, b long")
+
+
+def near_links(points: DataFrame) -> DataFrame:
+    """(a, b): pairs of fingerprints that link, enough of them to join all that links join.
+
+    Cells of up to BLOCK points give every pair at most 4 bits apart; larger ones are dealt to finer
+    grids, and on the last level, where 25 or more of the 32 segments agree, into blocks whose pairs
+    give chains. The chains grow with the points; the rows shuffled to pairs of blocks (n * n / BLOCK)
+    and the comparisons (n * n) grow with the square of a cell of that last level only.
+    """
+    found, placed = [], cells(points)
+    levels = grids()
+    for level, masks in enumerate(levels):
+        sizes = placed.groupBy("grid", "cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        shared = written(placed.join(sizes.hint("merge"), ["grid", "cell"]), "simhash-cells")
+        found.append(cell_pairs(shared.filter(F.col("n") <= BLOCK).drop("n"), len(masks) // len(levels[0])))
+        large = shared.filter(F.col("n") > BLOCK)
+        if level == len(levels) - 1:
+            found.append(block_chains(large))
+        elif large.isEmpty():
+            break
+        else:
+            placed = finer_cells(large, level + 1)
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -235,8 +284,13 @@ def query(docs: DataFrame) -> DataFrame:
                        F.col("component").alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """Of each group of texts alike to 0.8 (``near_texts``, not the bits of this query) the one with the least id."""
-    from opinaria.llm import near_texts
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The document with the least id of each component, with all its columns; null ids stay.
 
-    return near_texts.keep_one(docs)
+    Rows that repeat an id all stay or all go. Other columns may have any names.
+    """
+    known = F.col(f"`{id_col}`").isNotNull()
+    kept = near_duplicates(docs.filter(known), id_col, text_col).filter("_id = component").select(
+        F.col("_id").alias(id_col)).distinct()
+    chosen = docs.join(kept.hint("shuffle_hash"), id_col, "left_semi")
+    return chosen.unionByName(docs.filter(~known)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -190,6 +190,19 @@ def test_simhash_like_brute_force(texts, monkeypatch, block):
     assert len(set(parts.values())) < len(rows) - 20
 
 
+def test_linked_points_share_a_grid_on_every_level():
+    """Whatever four segments differ, some grid of each level fixes none of them, below one that does not either."""
+    rnd = random.Random(8)
+    levels = simhash.grids()
+    assert [len(x) for x in levels] == [70, 1050, 15750]
+    for _ in range(300):
+        differ = set(rnd.sample(range(32), 4))
+        first = next(i for i, fixed in enumerate(levels[0]) if not fixed & differ)
+        below = [i for i in range(first * 15, first * 15 + 15) if not levels[1][i] & differ]
+        assert below and all(levels[0][first] < levels[1][i] for i in below)
+        assert any(not levels[2][j] & differ for j in range(below[0] * 15, below[0] * 15 + 15))
+
+
 @pytest.mark.parametrize("block", [512, 4])
 def test_links_of_chosen_fingerprints(spark, monkeypatch, block):
     """Chains at exactly four bits, neighbours at five, both halves of a segment."""
