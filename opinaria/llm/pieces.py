@@ -26,7 +26,7 @@ from opinaria.llm import arrays as A
 
 SPACE = "▁"
 # Distinct parts of runs that a worker remembers at most; beyond it, it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 _RUNS = re.compile(" +[^ ]+| +$")
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 ENCODED = A.struct_type(n_tokens="long", ids="string", decoded="string")
@@ -122,7 +122,7 @@ class PrefixTable:
     def compatible(self, a: str, b: str) -> bool:
         got = self.pairs.get((a, b))
         if got is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > 2 * REMEMBERED:
                 self.pairs.clear()
             got = self.pairs[(a, b)] = self.merged(a + b) == [a, b]
         return got
