@@ -83,6 +83,28 @@ TURNS = f"""turns AS (SELECT * FROM (SELECT conv_id::VARCHAR || ':' || turn::VAR
     FROM conversations) WHERE texto <> '')"""
 
 
+# A turn answers one of the three before it; the newest of several answers comes first.
+FOREST = """replies AS (SELECT conv_id AS post_id, turn AS comment_id, -turn AS pos, text AS body,
+    CASE WHEN turn - 1 - turn % 3 > 0 THEN turn - 1 - turn % 3 END AS parent_id FROM conversations WHERE turn > 0),
+forest AS (SELECT post_id, comment_id, body, 1 AS depth, [pos] AS path FROM replies WHERE parent_id IS NULL
+    UNION ALL SELECT r.post_id, r.comment_id, r.body, f.depth + 1, list_append(f.path, r.pos)
+    FROM replies r JOIN forest f ON r.post_id = f.post_id AND r.parent_id = f.comment_id)"""
+FOREST_FIRST = """, first_comments AS (SELECT * FROM (SELECT post_id, body,
+    row_number() OVER (PARTITION BY post_id ORDER BY depth, path) AS pos FROM forest) WHERE pos <= 5)"""
+RANKED = f"""title_words AS (SELECT post_id, {words('title')} AS w FROM titles),
+title_terms AS (SELECT post_id, len(w) AS length, unnest(w) AS term FROM title_words),
+postings AS (SELECT post_id, length, term, count(*) AS f FROM title_terms GROUP BY ALL),
+sizes AS (SELECT count(*) AS n, avg(len(w))::DOUBLE AS mean FROM title_words WHERE len(w) > 0),
+spread AS (SELECT term, count(*) AS n FROM postings GROUP BY term),
+asked AS (SELECT * FROM (VALUES ('the', 'the'), ('of and ing', 'of'), ('of and ing', 'and'), ('of and ing', 'ing'),
+    ('Que la', 'que'), ('Que la', 'la'), ('der und', 'der'), ('der und', 'und')) AS x(keyword, term)),
+bm25 AS (SELECT a.keyword, p.post_id, round(sum(ln(1 + (z.n - s.n + 0.5::DOUBLE) / (s.n + 0.5::DOUBLE)) * p.f * 2.2::DOUBLE
+        / (p.f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * p.length / z.mean))), 6) AS score
+    FROM asked a JOIN postings p ON p.term = a.term JOIN spread s ON s.term = a.term CROSS JOIN sizes z GROUP BY ALL),
+ranked AS (SELECT keyword, row_number() OVER (PARTITION BY keyword ORDER BY score DESC, post_id) AS rank, post_id, score
+    FROM bm25 QUALIFY rank <= 8)"""
+
+
 def responses(ids: str) -> str:
     return f"""responses AS (SELECT id, CASE
         WHEN d IN ('0', '1', '2', '3') THEN 'positivo' WHEN d IN ('4', '5') THEN ' Positivo.'
@@ -460,6 +482,13 @@ def oracle_sql() -> dict[str, str]:
     sql["all_posts_to_texts"] = with_(ALL_POSTS) + "SELECT * FROM post_texts"
     sql["top5_comments"] = with_(COMMENTS) + "SELECT * FROM first_comments"
     sql["find_posts"] = with_(FOUND) + "SELECT * FROM found"
+    sql["comment_forest"] = "WITH RECURSIVE " + FOREST + """SELECT post_id, comment_id, depth::BIGINT AS depth,
+        row_number() OVER (PARTITION BY post_id ORDER BY depth, path) AS place FROM forest"""
+    sql["forest_to_texts"] = "WITH RECURSIVE " + ", ".join((TITLES, FOREST + FOREST_FIRST, texts_from("titles"))) + """
+        SELECT * FROM post_texts"""
+    sql["ranked_search"] = with_(TITLES, RANKED) + "SELECT * FROM ranked"
+    sql["ranked_posts_to_texts"] = with_(ALL_POSTS, RANKED) + """SELECT r.keyword, r.rank, t.*
+        FROM post_texts t JOIN ranked r ON r.post_id = t.post_id"""
     sql["row_ids"] = with_(ALL_POSTS) + """SELECT row_number() OVER (ORDER BY post_id, pos) AS id,
         post_id, pos, origem FROM post_texts"""
     sql["row_ids_within_post"] = with_(ALL_POSTS) + """SELECT row_number() OVER (PARTITION BY post_id ORDER BY pos)
@@ -481,6 +510,10 @@ def oracle_sql() -> dict[str, str]:
         SELECT id AS doc_id, prediction FROM {best('bnb_scores')}"""
     sql["nb_model_accuracy"] = with_(PLAIN_SCORES, predictions("review_words")) + """SELECT model, count(*) AS n,
         round(avg((label = prediction)::INT::DOUBLE), 6) AS accuracy FROM predictions GROUP BY model"""
+    merged = REVIEW_WORDS + ", " + bayes(vocabulary_of="train_terms")
+    sql["nb_merged_weights"] = with_(merged) + "SELECT label, term, round(weight, 6) AS weight FROM bnb"
+    sql["nb_merged_predict"] = with_(merged, scored("mnb"), GAUSSIAN) + f"""
+        SELECT 'multinomial' AS model, * FROM {best('mnb_scores')} UNION ALL SELECT 'gaussian', * FROM {best('gnb_scores')}"""
     sql["nb_train_vocabulary"] = with_(TRAIN_VOCAB_SCORES, predictions("review_words")) + "SELECT * FROM predictions"
     sql["train_and_evaluate"] = with_(FULL_SCORES) + "SELECT * FROM predictions"
     sql["train_label_counts"] = with_(FULL_SCORES) + """SELECT model, prediction AS label, count(*) AS n,

@@ -7,6 +7,7 @@ text, and ``conversations`` for posts (turn 0 is the title, later turns are the
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,12 +18,13 @@ from opinaria.functions import labels as L
 from opinaria.functions import text as X
 from opinaria.functions.stop_words import stop_words
 from opinaria.operators import evaluate as ev
-from opinaria.operators import external, lexicon, ml_models, summary
+from opinaria.operators import counts as ct
+from opinaria.operators import external, lexicon, search, summary
 from opinaria.operators import naive_bayes as nb
 from opinaria.operators import tokens as tk
 from opinaria.operators.row_ids import with_row_ids, with_row_ids_within
 from opinaria.plans import answers, classification, training
-from opinaria.sources import files, posts
+from opinaria.sources import files, forest, posts
 from opinaria.sources.scratch import materialise, new_path
 from opinaria.sources.tables import read_table, spread
 from opinaria.streaming import drop_folder
@@ -33,6 +35,7 @@ QUERIES: dict[str, Query] = {}
 LANGUAGES = ("de", "en", "es", "fr")
 REVIEW_CLASSES = ("neg", "pos")
 KEYWORD = "the"
+KEYWORDS = ("the", "of and ing", "Que la", "der und")
 
 
 def query(function: Query) -> Query:
@@ -348,6 +351,48 @@ def find_posts(spark, sf):
     return posts.find_posts(post_tables(spark, sf)[0], KEYWORD)
 
 
+def reply_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Posts, and comments that answer others: a turn answers one of the three before it, the newest first."""
+    titles, comments = post_tables(spark, sf)
+    parent = F.col("pos") - 1 - F.pmod("pos", F.lit(3))
+    replies = comments.select(
+        "post_id", F.col("pos").alias("comment_id"), F.when(parent > 0, parent).alias("parent_id"),
+        (-F.col("pos")).alias("pos"), "body")
+    return titles, replies
+
+
+@query
+def comment_forest(spark, sf):
+    """Every comment with its depth and its place in breadth-first order."""
+    placed = forest.first_in_breadth(forest.with_depth(reply_tables(spark, sf)[1]), None)
+    return placed.select("post_id", "comment_id", F.col("depth").cast("long").alias("depth"), F.col("place").cast("long").alias("place"))
+
+
+@query
+def forest_to_texts(spark, sf):
+    return forest.texts_of_forest(*reply_tables(spark, sf))
+
+
+def title_index(spark: SparkSession, sf: str) -> str:
+    path = new_path(spark, "title-index")
+    search.write_index(post_tables(spark, sf)[0], path)
+    return path
+
+
+@query
+def ranked_search(spark, sf):
+    """Several keywords in one job, over an index of all titles."""
+    found = search.search(spark, title_index(spark, sf), KEYWORDS, posts.POST_LIMIT)
+    return found.select("keyword", F.col("rank").cast("long").alias("rank"), "post_id", "score")
+
+
+@query
+def ranked_posts_to_texts(spark, sf):
+    """Titles and first comments of the posts that a ranked search finds."""
+    titles, comments = post_tables(spark, sf)
+    return posts.collect_ranked_texts(titles, comments, title_index(spark, sf), KEYWORDS)
+
+
 @query
 def row_ids(spark, sf):
     texts = posts.texts_of_posts(*post_tables(spark, sf)).drop("texto")
@@ -443,10 +488,38 @@ def nb_full_predict(spark, sf):
 
 @query
 def nb_gaussian_predict(spark, sf):
-    """The third family of models, on Spark ML vectors over the same vocabulary."""
+    """The third family of models, from sums of counts and of their squares over the same vocabulary."""
+    words = materialise(review_words(spark, sf), "words")
+    vocab = materialise(tk.vocabulary(words), "vocab")
+    model = ct.gaussian_model(ct.count_texts(split_train(words)), vocab=vocab)
+    return ct.predict_gaussian(words, replace(model, weights=materialise(model.weights, "weights-gaussian")))
+
+
+def counted_in_parts(spark: SparkSession, sf: str) -> tuple[DataFrame, ct.TrainingCounts]:
+    """Word arrays of the labelled reviews, and their training part counted in three batches and merged."""
     words = materialise(review_words(spark, sf), "words")
-    terms = ml_models.vocabulary_terms(tk.vocabulary(words))
-    return ml_models.predict_gaussian(words, ml_models.fit_gaussian(split_train(words), terms))
+    path, parts = new_path(spark, "counts"), ("first", "second", "third")
+    for i, name in enumerate(parts):
+        own = split_train(words).filter(F.pmod(F.col("id"), F.lit(len(parts))) == i)
+        ct.save_counts(ct.count_texts(own), path, name)
+    return words, ct.load_counts(spark, path, parts)
+
+
+@query
+def nb_merged_weights(spark, sf):
+    """Three batches trained one by one give the weights of training on all of them, vocabulary included."""
+    return rounded_weights(ct.model_of(counted_in_parts(spark, sf)[1], nb.BERNOULLI))
+
+
+@query
+def nb_merged_predict(spark, sf):
+    """The same for the multinomial and the Gaussian model, down to the predictions."""
+    words, merged = counted_in_parts(spark, sf)
+    plain = nb.predict(words, nb.materialised(ct.model_of(merged, nb.MULTINOMIAL)))
+    gaussian = ct.gaussian_model(merged)
+    gaussian = ct.predict_gaussian(words, replace(gaussian, weights=materialise(gaussian.weights, "weights-gaussian")))
+    return plain.select(F.lit(nb.MULTINOMIAL).alias("model"), "id", "prediction").unionByName(
+        gaussian.select(F.lit(nb.GAUSSIAN).alias("model"), "id", "prediction"))
 
 
 @query

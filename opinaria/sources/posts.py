@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from opinaria.operators.summary import cleaned_rows
+from opinaria.sources.scratch import materialise
 
 # Posts per search, comments per post, origin names.
 POST_LIMIT = 8
@@ -45,7 +48,8 @@ def first_comments(comments: DataFrame, limit: int = COMMENT_LIMIT) -> DataFrame
     return ranked.filter(F.col("_rank") <= limit).drop("_rank")
 
 
-def _as_texts(titles: DataFrame, comments: DataFrame) -> DataFrame:
+def as_texts(titles: DataFrame, comments: DataFrame) -> DataFrame:
+    """(post_id, pos, origem, texto) of titles and chosen comments, cleaned; empty texts go."""
     title_rows = cleaned_rows(
         titles.filter(has_title(F.col("title"))), F.col("title"),
         "post_id", F.lit(0).cast("bigint").alias("pos"), F.lit(TITLE).alias("origem"),
@@ -64,7 +68,7 @@ def texts_of_posts(
 
     Takes flat tables: posts (post_id, title) and comments (post_id, pos, body).
     """
-    return _as_texts(posts, first_comments(comments, comment_limit))
+    return as_texts(posts, first_comments(comments, comment_limit))
 
 
 def collect_texts(
@@ -78,6 +82,25 @@ def collect_texts(
     return texts_of_posts(found, comments.join(ids, "post_id", "left_semi"), comment_limit)
 
 
+def collect_ranked_texts(
+    posts: DataFrame, comments: DataFrame, index: str, keywords: Sequence[str],
+    post_limit: int = POST_LIMIT, comment_limit: int = COMMENT_LIMIT,
+) -> DataFrame:
+    """(keyword, rank, post_id, pos, origem, texto): the posts that an index of titles ranks first for each keyword.
+
+    A post that several keywords find is read once and given to each.
+    """
+    from opinaria.operators.search import search
+
+    found = materialise(search(posts.sparkSession, index, keywords, post_limit), "found-posts")
+    # At most post_limit ids per keyword.
+    ids = F.broadcast(found.select("post_id").distinct())
+    texts = texts_of_posts(
+        posts.join(ids, "post_id", "left_semi"), comments.join(ids, "post_id", "left_semi"), comment_limit)
+    named = F.broadcast(found.select("keyword", F.col("rank").cast("long").alias("rank"), "post_id"))
+    return texts.join(named, "post_id").select("keyword", "rank", "post_id", "pos", "origem", "texto")
+
+
 def texts_of_nested_posts(posts: DataFrame, comment_limit: int = COMMENT_LIMIT) -> DataFrame:
     """As ``texts_of_posts`` for posts that carry ``comments array<struct<pos,body>>``; no shuffle.
 
@@ -85,7 +108,7 @@ def texts_of_nested_posts(posts: DataFrame, comment_limit: int = COMMENT_LIMIT)
     """
     first = F.slice(F.array_sort("comments"), 1, comment_limit)
     comments = posts.select("post_id", F.inline(first))
-    return _as_texts(posts.select("post_id", "title"), comments)
+    return as_texts(posts.select("post_id", "title"), comments)
 
 
 def collect_nested_texts(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from opinaria.functions import labels as L
 from opinaria.operators import evaluate as ev
-from opinaria.operators import external, ml_models, summary
+from opinaria.operators import external, summary
 from opinaria.operators import naive_bayes as nb
 from opinaria.plans import answers, classification
 from opinaria.sources import files, posts, scratch, tables
@@ -333,11 +333,8 @@ def test_a_lexicon_does_not_ask_the_scorer_again(spark):
     assert rows.count() == 20
 
 
-def test_no_class_or_term_is_cut(spark, tmp_path):
+def test_no_class_is_cut(spark):
     terms = spark.createDataFrame([(f"t{i:04}", i) for i in range(3000)], "term string, term_idx int")
-    assert len(ml_models.vocabulary_terms(terms)) == 3000
-    with pytest.raises(ValueError):
-        ml_models.vocabulary_terms(terms, most=2999)
     rows = spark.createDataFrame([("a", ["t0001"])], "label string, words array<string>")
     with pytest.raises(ValueError):
         nb.fit(rows, vocab=terms, labels=[f"c{i}" for i in range(nb.MAX_CLASSES + 1)])
