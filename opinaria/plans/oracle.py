@@ -531,6 +531,10 @@ def oracle_sql() -> dict[str, str]:
 
     sql["prompt_render"] = with_(TURNS) + f"SELECT id, {prompt(external.THREE_CLASS_PROMPT, 'texto')} AS prompt FROM turns"
     sql["prompt_review"] = f"SELECT page_id, {prompt(external.TWO_CLASS_PROMPT, tags('html'))} AS prompt FROM pages"
+    sql["answers_kept"] = with_(TURNS, "asked AS (SELECT DISTINCT texto FROM turns WHERE substr(md5(id), 1, 1) < '8')") + f"""
+        SELECT t.id, {scorer('t.texto')} AS sent_gemini, CASE WHEN contains(t.texto, '?') THEN NULL
+            WHEN a.texto IS NOT NULL THEN 'first' ELSE 'second' END AS run
+        FROM turns t LEFT JOIN asked a ON a.texto = t.texto"""
     sql["scorer_map"] = with_(TURNS) + f"SELECT *, {scorer('texto')} AS sent_gemini FROM turns"
     sql["classify_and_compare"] = with_(COMPARED) + "SELECT * FROM compared"
 
@@ -596,5 +600,6 @@ def oracle_sql() -> dict[str, str]:
             FROM documents d JOIN labels l ON d.doc_id = l.doc_id
             ORDER BY md5('42:' || d.doc_id::VARCHAR), d.doc_id LIMIT 10)"""
     sql["stream_classify"] = with_(TURNS) + f"SELECT 'manual' AS origem, texto, {scorer('texto')} AS sent_gemini FROM turns"
+    sql["stream_counts_kept"] = f"SELECT sent_gemini AS label, count(*) AS n FROM ({sql['stream_classify']}) GROUP BY 1"
     sql["stream_label_counts"] = f"SELECT sent_gemini AS label, count(*) AS n FROM ({sql['stream_classify']}) GROUP BY 1"
     return sql

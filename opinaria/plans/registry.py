@@ -19,7 +19,7 @@ from opinaria.functions import text as X
 from opinaria.functions.stop_words import stop_words
 from opinaria.operators import evaluate as ev
 from opinaria.operators import counts as ct
-from opinaria.operators import external, lexicon, search, summary
+from opinaria.operators import answer_store, external, lexicon, search, summary
 from opinaria.operators import naive_bayes as nb
 from opinaria.operators import tokens as tk
 from opinaria.operators.row_ids import with_row_ids, with_row_ids_within
@@ -282,7 +282,7 @@ def bag_of_words(spark, sf):
 @query
 def document_terms(spark, sf):
     words = document_words(spark, sf)
-    return tk.document_terms(words, tk.vocabulary(words), "doc_id")
+    return tk.document_terms(words, tk.vocabulary(words), "doc_id", max_features=tk.MAX_FEATURES)
 
 
 @query
@@ -624,6 +624,16 @@ def classify_and_compare(spark, sf):
     )
 
 
+@query
+def answers_kept(spark, sf):
+    """Half of the turns in a first run, all in a second one, which asks for new prompts and failed ones only."""
+    path, texts = new_path(spark, "answers"), turn_texts(spark, sf)
+    answer_store.create_store(spark, path)
+    options = {"factory": make_keyword_scorer, "column": files.MODEL_LABEL, "template": None}
+    answer_store.score_kept(texts.filter(F.substring(F.md5("id"), 1, 1) < "8"), path, "first", **options)
+    return answer_store.score_kept(texts, path, "second", **options).select("id", files.MODEL_LABEL, "run")
+
+
 # ---- evaluation and summaries -------------------------------------------------------------------
 
 
@@ -812,6 +822,16 @@ def stream_classify(spark, sf):
     return spark.read.schema("origem string, texto string, sent_gemini string").parquet(target)
 
 
+@query
+def stream_counts_kept(spark, sf):
+    """The same counts, kept as one version per micro-batch, read as the newest."""
+    target, state = new_path(spark, "counts-kept"), new_path(spark, "counts-state")
+    texts = drop_folder.stream_texts(spark, drop_comments(spark, sf), max_files=4)
+    labelled = external.score_with(texts, make_keyword_scorer, files.MODEL_LABEL, template=None)
+    drop_folder.keep_counts(labelled, files.MODEL_LABEL, target, state).awaitTermination()
+    return drop_folder.read_counts(spark, target)
+
+
 @query
 def stream_label_counts(spark, sf):
     """Running label counts over a drop folder."""

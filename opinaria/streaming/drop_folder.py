@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -60,3 +61,29 @@ def count_labels(texts: DataFrame, label: str, target: str, checkpoint: str) ->
         label_counts(texts, label).writeStream.outputMode("complete").foreachBatch(replace)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
+
+
+def keep_counts(texts: DataFrame, label: str, target: str, checkpoint: str) -> StreamingQuery:
+    """Keep running label counts as one folder per micro-batch, for readers that come at any time.
+
+    A folder appears by the rename of its one file and is never changed by a later batch, so that
+    ``read_counts`` sees the complete counts of some batch at every moment. A batch that is played again
+    after a failure writes its own folder anew, with the same rows.
+    """
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.coalesce(1).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+    return (
+        label_counts(texts, label).writeStream.outputMode("complete").foreachBatch(keep)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
+def read_counts(spark: SparkSession, target: str, batch: int | None = None) -> DataFrame:
+    """(label, n) after the newest micro-batch, or after the named one."""
+    kept = spark.read.schema("label string, n long, batch long").option("basePath", target).parquet(target)
+    if batch is None:
+        # The batch is a folder name: its greatest value needs one number per file.
+        batch = kept.agg(F.max("batch").alias("batch")).first()["batch"]
+    return kept.filter(F.col("batch") == F.lit(batch)).select("label", "n")
