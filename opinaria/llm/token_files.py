@@ -25,8 +25,8 @@ from opinaria.llm import planes as P
 from opinaria.sources.scratch import new_path
 
 BLOCK, CHUNK, END = 65_536, 1_000_000, 2
-# Distinct words whose ids a worker remembers at most; beyond it, it starts anew.
-REMEMBERED = 600_000
+# Distinct words, and pieces between spaces, whose ids a worker remembers at most; beyond it, it starts anew.
+REMEMBERED, REMEMBERED_PIECES = 500_000, 400_000
 CHUNKS = (
     "shard int, chunk int, start_in_shard long, n_ids long, kind string, doc_ids array<long>, "
     "lengths array<long>, blocks array<struct<n:int,planes:array<binary>>>"
@@ -55,6 +55,7 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.whole: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         (self.line_break,) = np.frombuffer(self.ids("\n"), dtype="<u4").tolist()
 
@@ -77,12 +78,17 @@ class PieceEncoder:
 
     def pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces, each with the space before it if it has one."""
-        split = list(map(_WORDS.findall, pieces))
         if len(self.words) > REMEMBERED:
             self.words.clear()
-        known = self.words
+        if len(self.whole) > REMEMBERED_PIECES:
+            self.whole.clear()
+        whole, known = self.whole, self.words
+        new = [p for p in set(pieces) if p not in whole]
+        split = list(map(_WORDS.findall, new))
         self.learn({w for words in split for w in words if w not in known})
-        return [b"".join([known[w] for w in words]) for words in split]
+        for piece, words in zip(new, split, strict=True):
+            whole[piece] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
+        return [whole[p] for p in pieces]
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of every text as little-endian bytes."""
