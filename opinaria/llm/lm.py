@@ -4,7 +4,7 @@ The model is p(w | v) = a * c(v, w) / c(v) + b * c(w) / N + c / (V + 1); the wei
 how often the context v was seen and are learned by expectation-maximisation on counts held out from
 the training part. Counts cover the whole corpus and stay distributed:
 
-* Documents are gathered in slices of about 16 MB, written once. A slice sends each distinct key
+* Documents are gathered in slices of about 6 MB, written once. A slice sends each distinct key
   (word or pair) with its count to the part of the key space that the key's hash names, as one packed
   row per part, so that no key, however frequent, sends more than one entry per slice.
 * Each part adds up its keys and sends every slice the totals of the keys it asked for.
@@ -27,7 +27,7 @@ from opinaria.llm import arrays as A
 from opinaria.llm import planes as P
 from opinaria.llm.steps import written
 
-SLICE = 16_000_000
+SLICE = 6_000_000
 KEYS_PER_PART = 2_000_000
 # What a document is for: its counts, or weights (held out from the counts at first), or neither.
 COUNTED, WEIGHED, HELD_OUT = 0, 1, 2
@@ -100,7 +100,8 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
 
 
 def pack_counts(values: np.ndarray) -> list[bytes]:
-    return P.pack(values.astype(np.uint32), level=1)
+    """Counts and totals as 64-bit integers; planes of zeros cost next to nothing."""
+    return P.pack(values.astype(np.uint64), level=1)
 
 
 def pack_keys(keys: np.ndarray) -> list[bytes]:
@@ -151,12 +152,15 @@ def add_up(table: pa.Table) -> pa.Table:
                                      for c, s in zip(table[counts].to_pylist(), sizes.tolist(), strict=True)])
         distinct, at = np.unique(all_keys, return_inverse=True)
         kind = np.repeat(kinds, sizes)
-        totals = [np.bincount(at[kind == k], weights=all_counts[kind == k], minlength=len(distinct)).astype(np.int64)
-                  for k in (COUNTED, WEIGHED)]
+        totals = []
+        for k in (COUNTED, WEIGHED):
+            total = np.zeros(len(distinct), dtype=np.int64)
+            np.add.at(total, at[kind == k], all_counts[kind == k])
+            totals.append(total)
         ends = np.cumsum(sizes)
         for i, total in enumerate(totals):
             wide = total[at]
-            out[2 * level + i] = [P.pack(wide[b - s : b].astype(np.uint32), level=1) for b, s in zip(ends, sizes, strict=True)]
+            out[2 * level + i] = [pack_counts(wide[b - s : b]) for b, s in zip(ends, sizes, strict=True)]
         if level == 0:
             stats = [int(totals[0].sum()), int(totals[0].sum() + totals[1].sum()), int(((totals[0] + totals[1]) > 0).sum())]
     rows = len(kinds)

@@ -381,3 +381,16 @@ def test_planted_passages_of_the_benchmark(spark):
     whole = {(d, i) for i, text in items if len(text.split()) >= 5 for d, body in docs if " ".join(text.split()) in body}
     got = {(r["doc_id"], r["item_id"]) for r in queries.op9_decontamination(spark, folder).collect()}
     assert whole and whole <= got
+
+
+def test_totals_of_words_beyond_32_bits():
+    """Three slices that each hold a word as often as 32 bits can say."""
+    most, keys = (1 << 32) - 1, np.array([5, 9], dtype=np.uint64)
+    rows = [{"part": 0, "slice": i, "kind": kind, "n1": 2, "keys1": lm.pack_keys(keys), "c1": lm.pack_counts(np.array([most, 1])),
+             "n2": 0, "keys2": [], "c2": []} for i, kind in enumerate((lm.COUNTED, lm.COUNTED, lm.WEIGHED))]
+    planes_of = pa.list_(pa.binary())
+    table = pa.table({c: pa.array([r[c] for r in rows], planes_of if c[0] in "kc" and c != "kind" else pa.int64()) for c in rows[0]})
+    done = lm.add_up(table).to_pylist()
+    assert [planes.unpack(r["counted1"], 2).tolist() for r in done[:3]] == [[2 * most, 2]] * 3
+    assert [planes.unpack(r["weighed1"], 2).tolist() for r in done[:3]] == [[most, 1]] * 3
+    assert done[3]["stats"] == [2 * most + 2, 3 * most + 3, 2]
