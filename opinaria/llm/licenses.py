@@ -75,18 +75,27 @@ SPELLINGS = (
     ("organisation", "organization"), ("favour", "favor"), ("acknowledgement", "acknowledgment"),
     ("per cent", "percent"), ("copyright owner", "copyright holder"), ("copyright owners", "copyright holders"),
 )
-# A whole line that names a copyright; the flags before it differ between regular expression dialects.
+# A whole line that states a copyright: the word and then a year, a sign or a name in brackets, or a sign and a year. A line
+# that merely begins with the word, as wrapped licence texts have them, stays.
 COPYRIGHT_LINE = (
-    r"^[^a-z0-9\n]*(?:copyright(?:[^a-z0-9\n][^\n]*)?|c\) *[0-9][^\n]*|©[^\n]*|all rights reserved[^a-z0-9\n]*)$"
+    r"^[^a-z0-9\n]*(?:copyright[^a-z0-9\n]*(?:\(c\)|©|[0-9]{4}|[<\[{])[^\n]*|\(c\) *[0-9]{4}[^\n]*|©[^\n]*"
+    r"|all rights reserved[^a-z0-9\n]*)$"
 )
 
 
+def _parted(words: str) -> str:
+    return words.replace(" ", "  ")
+
+
 def canonical(text: Column) -> Column:
-    """Lower case, no copyright lines, words of a-z and 0-9 parted by one space, equal spellings as one."""
+    """Lower case, no copyright lines, words of a-z and 0-9, equal spellings as one.
+
+    Words are parted by two spaces, one for each, so that neighbours of one spelling are both replaced.
+    """
     plain = F.regexp_replace(F.lower(text), "(?md)" + COPYRIGHT_LINE, " ")
-    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " ")), F.lit(" "))
+    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(plain, "[^a-z0-9]+", "  ")), F.lit(" "))
     for a, b in SPELLINGS:
-        words = F.replace(words, F.lit(f" {a} "), F.lit(f" {b} "))
+        words = F.replace(words, F.lit(f" {_parted(a)} "), F.lit(f" {_parted(b)} "))
     return F.trim(words)
 
 
@@ -128,12 +137,26 @@ def _sql_text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
+# Of the SQL alone: the same rules said once more, line by line and as patterns over words, so that a wrong
+# rule above shows as a difference.
+_SQL_NOTICE = (
+    r"^[^a-z0-9]*copyright[^a-z0-9]*(\(c\)|©|[0-9][0-9][0-9][0-9]|<|\[|\{)", r"^[^a-z0-9]*\(c\) *[0-9][0-9][0-9][0-9]",
+    "^[^a-z0-9]*©", "^[^a-z0-9]*all rights reserved[^a-z0-9]*$")
+_SQL_WORDS = (
+    ("licence(d?)", "license\\1"), ("sub license", "sublicense"), ("non infringement", "noninfringement"),
+    ("merchantibility", "merchantability"), ("http", "https"), ("version", "v"), ("organisation", "organization"),
+    ("favour", "favor"), ("acknowledgement", "acknowledgment"), ("per cent", "percent"),
+    ("copyright owner(s?)", "copyright holder\\1"),
+)
+
+
 def _sql_canonical(text: str) -> str:
-    plain = f"regexp_replace(lower({text}), {_sql_text('(?m)' + COPYRIGHT_LINE)}, ' ', 'g')"
-    words = f"' ' || trim(regexp_replace({plain}, '[^a-z0-9]+', ' ', 'g')) || ' '"
-    for a, b in SPELLINGS:
-        words = f"replace({words}, ' {a} ', ' {b} ')"
-    return f"trim({words})"
+    tests = " OR ".join(f"regexp_matches(x, {_sql_text(p)})" for p in _SQL_NOTICE)
+    lines = f"[x FOR x IN string_split(lower({text}), chr(10)) IF NOT ({tests})]"
+    words = f"trim(regexp_replace(array_to_string({lines}, ' '), '[^a-z0-9]+', ' ', 'g'))"
+    for a, b in _SQL_WORDS:
+        words = f"regexp_replace({words}, {_sql_text(chr(92) + 'b' + a + chr(92) + 'b')}, {_sql_text(b)}, 'g')"
+    return words
 
 
 def oracle_sql() -> str:
