@@ -1,8 +1,8 @@
 """Quality rules whose cut-offs follow from the corpus: quantile sketches per language and source.
 
 Statistics of each text are computed once; KLL sketches of them are built per (language, source), and
-merged to sketches per language and of everything, so that small groups lean on larger ones. A text
-goes if a statistic lies beyond its group's fence. Only DataFrame functions.
+merged to sketches per language and of everything, on which groups lean, the more the smaller they are. A
+text goes if a statistic lies beyond its group's fence. Only DataFrame functions.
 """
 
 from __future__ import annotations
@@ -15,8 +15,9 @@ from opinaria.llm.steps import written
 BLANK = "[\\x20\\x09-\\x0D]+"
 BLANKS, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED = 50, 50
-# A group of fewer texts than this takes the sketch of its language, and then that of all.
-LEAST_TEXTS = 200
+# A quantile of a group of n texts has the weight n / (n + LEAN), the rest is its language's, which leans on all texts
+# in the same way; so one text more or less never swaps a fence.
+LEAN = 50
 SKETCH_K = 200
 # A fence lies beyond the outer quantile by its distance to the inner one (of shares the median, so that a zero
 # quartile range still leaves a fence of the group), and at least by FLOOR, so that equal texts are no outliers.
@@ -115,10 +116,14 @@ def fences(parts: DataFrame) -> DataFrame:
     joined = own.alias("o").join(by_lang.alias("l"), F.expr("o._lang <=> l._lang")).select(
         "o.*", *(c for c in by_lang.columns if c != "_lang"))
 
+    def leaning(n: str, own: Column, wider: Column) -> Column:
+        """``own`` by the weight of its texts, and ``wider`` for the rest."""
+        return wider + (own - wider) * F.col(n) / (F.col(n) + LEAN)
+
     def chosen(c: str, q: float) -> Column:
         i = asked.index((c, q))
-        return F.when(F.col("n_own") >= LEAST_TEXTS, F.col(f"own_{i}")).when(
-            F.col("n_lang") >= LEAST_TEXTS, F.col(f"lang_{i}")).otherwise(F.lit(everything[f"all_{i}"]).cast("double"))
+        lang = leaning("n_lang", F.col(f"lang_{i}"), F.lit(everything[f"all_{i}"]).cast("double"))
+        return leaning("n_own", F.col(f"own_{i}"), lang)
 
     def fence(c: str, side: str, outer: float, inner: float) -> Column:
         at = chosen(c, outer)
