@@ -33,15 +33,24 @@ CHUNKS = (
 )
 # Fixed value: the published split of this byte-level vocabulary.
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_MARKS = frozenset(".,;:!?)")
 # White space to one library and not to the other: such texts are asked for whole.
 _ODD = r"[\x{1c}-\x{1f}\x{85}\x{180e}\x{200b}\x{feff}]"
-_BLANK = re.compile(r"\s")
 _INNER = re.compile(r"(?<=\S) (?=\S)")
 _SPACE = r"[\s\v\p{Z}]"
 _DOUBLE = f"{_SPACE}{_SPACE}|^{_SPACE}|{_SPACE}$"
 _encoders: dict[str, PieceEncoder] = {}
 
 
+def split_piece(piece: str) -> list[str]:
+    """The words of a piece; the usual ones, letters behind a space and one mark at most, need no pattern."""
+    if piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
+        return [piece]
+    if piece[-1:] in _MARKS and piece[1:-1].isalpha() and (piece[0] == " " or piece[0].isalpha()):
+        return [piece[:-1], piece[-1]]
+    return _WORDS.findall(piece)
+
+
 class PieceEncoder:
     """Ids of texts by the tokenizers library, asked once for each distinct word of its byte-level split.
 
@@ -60,18 +69,20 @@ class PieceEncoder:
         (self.line_break,) = np.frombuffer(self.ids("\n"), dtype="<u4").tolist()
 
     def ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        (made,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(made.ids, dtype="<u4").tobytes()
 
     def learn(self, words: set[str]) -> None:
         """Ask for words; those without white space inside go in one text, a line break after each."""
-        plain = [w for w in words if not _BLANK.search(w, 1) and w != " "]
+        # White space stands inside a word only if the word is nothing else.
+        plain = [w for w in words if not w.isspace()]
         for a in range(0, len(plain), 2_000):
             part = plain[a : a + 2_000]
-            got = np.frombuffer(self.ids("".join(f"{w}\n" for w in part)), dtype="<u4")
-            cuts = np.flatnonzero(got == self.line_break)
+            got = self.ids("".join([f"{w}\n" for w in part]))
+            cuts = 4 * np.flatnonzero(np.frombuffer(got, dtype="<u4") == self.line_break)
             if len(cuts) == len(part):
-                for word, x, y in zip(part, [0, *(cuts[:-1] + 1)], cuts, strict=True):
-                    self.words[word] = got[x:y].tobytes()
+                begins = [0, *(cuts[:-1] + 4).tolist()]
+                self.words.update({w: got[x:y] for w, x, y in zip(part, begins, cuts.tolist(), strict=True)})
         for word in words:
             if word not in self.words:
                 self.words[word] = self.ids(word)
@@ -83,11 +94,12 @@ class PieceEncoder:
         if len(self.whole) > REMEMBERED_PIECES:
             self.whole.clear()
         whole, known = self.whole, self.words
-        new = [p for p in set(pieces) if p not in whole]
-        split = list(map(_WORDS.findall, new))
+        new = [p for p in pieces if p not in whole]
+        split = [split_piece(p) for p in new]
         self.learn({w for words in split for w in words if w not in known})
-        for piece, words in zip(new, split, strict=True):
-            whole[piece] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
+        whole.update({
+            piece: known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
+            for piece, words in zip(new, split, strict=True)})
         return [whole[p] for p in pieces]
 
     def encode(self, texts: pa.Array) -> list[bytes]:
@@ -110,19 +122,16 @@ class PieceEncoder:
         if not plain:
             return out
         coded = lists.flatten().dictionary_encode()
-        at = np.asarray(coded.indices)
         firsts = self.pieces([rows[i].split(" ", 1)[0] for i in plain])
         known = self.pieces([f" {p}" for p in coded.dictionary.to_pylist()])
-        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        ids = np.frombuffer(b"".join(known), dtype="<u4")
-        counts = sizes[at]
-        counts[offsets[:-1]] = 0
-        ends = np.concatenate([[0], np.cumsum(counts)])
-        places = np.arange(ends[-1]) + np.repeat(A.starts_of(sizes)[at] - ends[:-1], counts)
-        found = ids[places].tobytes()
-        cuts = (4 * ends[offsets]).tolist()
-        for i, first, a, b in zip(plain, firsts, cuts, cuts[1:], strict=False):
-            out[i] = first + found[a:b]
+        # All ids lie one after another in the taken array; a text's own are behind its first piece's.
+        taken = pa.array(known, pa.large_binary()).take(coded.indices)
+        _, at, data = taken.buffers()
+        ends = np.frombuffer(at, dtype=np.int64, count=len(taken) + 1)
+        begins, cuts = ends[offsets[:-1] + 1].tolist(), ends[offsets[1:]].tolist()
+        data = memoryview(data) if data is not None else b""
+        for i, first, a, b in zip(plain, firsts, begins, cuts, strict=True):
+            out[i] = b"".join((first, data[a:b]))
         return out
 
 
