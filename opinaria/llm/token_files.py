@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +25,8 @@ from opinaria.llm import planes as P
 from opinaria.sources.scratch import new_path
 
 BLOCK, CHUNK, END = 65_536, 1_000_000, 2
-# Distinct words, and pieces between spaces, whose ids a worker remembers at most; beyond it, it starts anew.
-REMEMBERED, REMEMBERED_PIECES = 500_000, 400_000
+# Distinct pieces between spaces, words among them, whose ids a worker remembers at most; beyond it, it starts anew.
+REMEMBERED = 700_000
 CHUNKS = (
     "shard int, chunk int, start_in_shard long, n_ids long, kind string, doc_ids array<long>, "
     "lengths array<long>, blocks array<struct<n:int,planes:array<binary>>>"
@@ -42,12 +42,12 @@ _DOUBLE = f"{_SPACE}{_SPACE}|^{_SPACE}|{_SPACE}$"
 _encoders: dict[str, PieceEncoder] = {}
 
 
-def split_piece(piece: str) -> list[str]:
+def split_piece(piece: str) -> Sequence[str]:
     """The words of a piece; the usual ones, letters behind a space and one mark at most, need no pattern."""
     if piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
-        return [piece]
+        return (piece,)
     if piece[-1:] in _MARKS and piece[1:-1].isalpha() and (piece[0] == " " or piece[0].isalpha()):
-        return [piece[:-1], piece[-1]]
+        return piece[:-1], piece[-1]
     return _WORDS.findall(piece)
 
 
@@ -64,8 +64,7 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
-        self.whole: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
         (self.line_break,) = np.frombuffer(self.ids("\n"), dtype="<u4").tolist()
 
     def ids(self, text: str) -> bytes:
@@ -73,8 +72,7 @@ class PieceEncoder:
         return np.array(made.ids, dtype="<u4").tobytes()
 
     def learn(self, words: set[str]) -> None:
-        """Ask for words; those without white space inside go in one text, a line break after each."""
-        # White space stands inside a word only if the word is nothing else.
+        """Ask for words; those that are not white space go in one text, a line break after each."""
         plain = [w for w in words if not w.isspace()]
         for a in range(0, len(plain), 2_000):
             part = plain[a : a + 2_000]
@@ -82,25 +80,28 @@ class PieceEncoder:
             cuts = 4 * np.flatnonzero(np.frombuffer(got, dtype="<u4") == self.line_break)
             if len(cuts) == len(part):
                 begins = [0, *(cuts[:-1] + 4).tolist()]
-                self.words.update({w: got[x:y] for w, x, y in zip(part, begins, cuts.tolist(), strict=True)})
+                self.known.update({w: got[x:y] for w, x, y in zip(part, begins, cuts.tolist(), strict=True)})
         for word in words:
-            if word not in self.words:
-                self.words[word] = self.ids(word)
+            if word not in self.known:
+                self.known[word] = self.ids(word)
 
     def pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces, each with the space before it if it has one."""
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        if len(self.whole) > REMEMBERED_PIECES:
-            self.whole.clear()
-        whole, known = self.whole, self.words
-        new = [p for p in pieces if p not in whole]
-        split = [split_piece(p) for p in new]
-        self.learn({w for words in split for w in words if w not in known})
-        whole.update({
-            piece: known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
-            for piece, words in zip(new, split, strict=True)})
-        return [whole[p] for p in pieces]
+        """Ids of pieces, each with the space before it if it has one; a word is a piece of one word."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        known = self.known
+        words, split = set(), {}
+        for piece in pieces:
+            if piece not in known:
+                parts = split_piece(piece)
+                if len(parts) == 1:
+                    words.add(piece)
+                else:
+                    split[piece] = parts
+                    words.update(parts)
+        self.learn({w for w in words if w not in known} if known else words)
+        known.update({piece: b"".join([known[w] for w in parts]) for piece, parts in split.items()})
+        return [known[p] for p in pieces]
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of every text as little-endian bytes."""
