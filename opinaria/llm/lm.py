@@ -6,7 +6,8 @@ the training part. Counts cover the whole corpus and stay distributed:
 
 * Documents are gathered in slices of about 6 MB, written once. A slice sends each distinct key
   (word or pair) with its count to the part of the key space that the key's hash names, as one packed
-  row per part, so that no key, however frequent, sends more than one entry per slice.
+  row per part that it has keys of. So no key, however frequent, sends more than one entry per slice,
+  and a slice sends at most one row per key of its own, however many parts there are.
 * Each part adds up its keys and sends every slice the totals of the keys it asked for.
 * A slice with its totals scores its documents by itself.
 """
@@ -29,6 +30,8 @@ from opinaria.llm.steps import written
 
 SLICE = 6_000_000
 KEYS_PER_PART = 2_000_000
+# Fewer values than this are sent as they are: frames of planes would be longer and dearer than they.
+LEAST_PLANES = 64
 # What a document is for: its counts, or weights (held out from the counts at first), or neither.
 COUNTED, WEIGHED, HELD_OUT = 0, 1, 2
 END, START = np.uint64(0x1F3D5B79A2C4E6F8), np.uint64(0x8E6C4A2917395B7D)
@@ -100,13 +103,29 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
 
 
 def pack_counts(values: np.ndarray) -> list[bytes]:
-    """Counts and totals as 64-bit integers; planes of zeros cost next to nothing."""
-    return P.pack(values.astype(np.uint64), level=1)
+    """Counts and totals as planes of the narrowest integers that hold them, 64 bits at most."""
+    return P.pack(values.astype(np.min_scalar_type(int(values.max(initial=0)))), level=1)
+
+
+def unpack_counts(packed: list[bytes] | None) -> np.ndarray:
+    if not packed:
+        return np.zeros(0, np.int64)
+    # Every value has as many bytes as there are planes, so the first plane gives the number.
+    size = len(P.zstandard.ZstdDecompressor().decompress(packed[0]))
+    return P.unpack(packed, size).astype(np.int64)
 
 
 def pack_keys(keys: np.ndarray) -> list[bytes]:
-    """Sorted keys as differences in planes."""
-    return P.pack(np.diff(keys, prepend=np.uint64(0)), level=1)
+    """Sorted keys as differences in planes; a few keys as one string of the same differences."""
+    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
+    return P.pack(steps, level=1) if len(steps) >= LEAST_PLANES else [steps.tobytes()]
+
+
+def unpack_keys(packed: list[bytes] | None, size: int) -> np.ndarray:
+    if not packed:
+        return np.zeros(0, np.uint64)
+    steps = np.frombuffer(packed[0], dtype="<u8") if len(packed) == 1 else P.unpack(packed, size)
+    return np.cumsum(steps, dtype=np.uint64)
 
 
 PACKET = "part int, slice long, kind int, n1 int, keys1 array<binary>, c1 array<binary>, n2 int, keys2 array<binary>, c2 array<binary>"
@@ -123,7 +142,8 @@ def packets(made: DataFrame, parts: int) -> DataFrame:
                           np.bincount(tokens.pair_at, minlength=len(tokens.pairs))]
                 keys = [tokens.words, tokens.pairs]
                 cuts = [np.searchsorted(part_of(k, parts), np.arange(parts + 1)) for k in keys]
-                for part in range(parts):
+                own = np.unique(np.concatenate([part_of(k, parts) for k in keys]))
+                for part in own.tolist():
                     line: list = [part, name, kind]
                     for k, c, cut in zip(keys, counts, cuts, strict=True):
                         a, b = cut[part], cut[part + 1]
@@ -146,10 +166,8 @@ def add_up(table: pa.Table) -> pa.Table:
     stats: list[int] = []
     for level, (n, keys, counts) in enumerate((("n1", "keys1", "c1"), ("n2", "keys2", "c2"))):
         sizes = np.asarray(table[n]).astype(np.int64)
-        all_keys = np.concatenate([np.cumsum(P.unpack(k, s)).astype(np.uint64) if s else np.zeros(0, np.uint64)
-                                   for k, s in zip(table[keys].to_pylist(), sizes.tolist(), strict=True)])
-        all_counts = np.concatenate([P.unpack(c, s).astype(np.int64) if s else np.zeros(0, np.int64)
-                                     for c, s in zip(table[counts].to_pylist(), sizes.tolist(), strict=True)])
+        all_keys = np.concatenate([unpack_keys(k, s) for k, s in zip(table[keys].to_pylist(), sizes.tolist(), strict=True)])
+        all_counts = np.concatenate([unpack_counts(c) for c in table[counts].to_pylist()])
         distinct, at = np.unique(all_keys, return_inverse=True)
         kind = np.repeat(kinds, sizes)
         totals = []
@@ -181,11 +199,7 @@ def with_totals(made: DataFrame, totals: DataFrame) -> DataFrame:
 def token_counts(tokens: Tokens, sent: list[dict]) -> dict[str, np.ndarray]:
     """For every distinct word and pair of a slice, its counts in both training parts."""
     def joined(name: str) -> np.ndarray:
-        # Every value has as many bytes as there are planes, so the first plane gives the number.
-        parts = []
-        for row in sent:
-            size = len(P.zstandard.ZstdDecompressor().decompress(row[name][0])) if row[name] else 0
-            parts.append(P.unpack(row[name], size).astype(np.int64))
+        parts = [unpack_counts(row[name]) for row in sent]
         return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
     return {name: joined(name) for name in ("counted1", "weighed1", "counted2", "weighed2")}

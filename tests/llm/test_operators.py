@@ -17,6 +17,7 @@ import sentencepiece
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from opinaria.llm import (
@@ -394,3 +395,30 @@ def test_totals_of_words_beyond_32_bits():
     assert [planes.unpack(r["counted1"], 2).tolist() for r in done[:3]] == [[2 * most, 2]] * 3
     assert [planes.unpack(r["weighed1"], 2).tolist() for r in done[:3]] == [[most, 1]] * 3
     assert done[3]["stats"] == [2 * most + 2, 3 * most + 3, 2]
+
+
+def test_packets_never_outnumber_the_keys(texts):
+    """However many parts there are, a slice sends rows only to those it has keys of; the totals are the same."""
+    docs = texts([(i, f"the {i} cat{i % 7} sat") for i in range(50)]).select(
+        F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.lit(lm.COUNTED).alias("_kind"))
+    made = lm.written(lm.slices(docs.coalesce(1)), "packets-test")
+    payload = bytes(made.first()["payload"])
+    tokens = lm.Tokens(payload)
+    for parts in (1, 3, 64, 100_000):
+        rows = lm.packets(made, parts).collect()
+        assert len(rows) <= min(parts, len(tokens.words) + len(tokens.pairs))
+        rows.sort(key=lambda r: r["part"])
+        for n, keys, counts, whole, at in (("n1", "keys1", "c1", tokens.words, tokens.word_at),
+                                           ("n2", "keys2", "c2", tokens.pairs, tokens.pair_at)):
+            assert np.concatenate([lm.unpack_keys(r[keys], r[n]) for r in rows]).tolist() == whole.tolist()
+            assert np.concatenate([lm.unpack_counts(r[counts]) for r in rows]).tolist() == np.bincount(at).tolist()
+
+
+@pytest.mark.parametrize("size", [0, 1, lm.LEAST_PLANES - 1, lm.LEAST_PLANES, 1000])
+@pytest.mark.parametrize("most", [1, 255, 256, 1 << 16, 1 << 32, 1 << 62])
+def test_packed_keys_and_counts_come_back(size, most):
+    rnd = random.Random(size)
+    keys = np.array(sorted({rnd.getrandbits(64) for _ in range(size)}), dtype=np.uint64)
+    counts = np.array([rnd.randint(1, most) for _ in range(size)], dtype=np.int64)
+    assert lm.unpack_keys(lm.pack_keys(keys), size).tolist() == keys.tolist()
+    assert lm.unpack_counts(lm.pack_counts(counts)).tolist() == counts.tolist()
