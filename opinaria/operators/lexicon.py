@@ -1,8 +1,10 @@
 """Lexicon scores: word valences summed per text, plain or with the published context rules.
 
 The rules (Hutto and Gilbert 2014) look at the three words before a sentiment word and at the two
-after it. Each word row therefore takes those neighbours along from inside its own document. What
-follows are lookups in the broadcast lexicon and one sum per text: no window over word rows.
+after it. Each word row therefore takes those neighbours along from inside its own document. An inner
+join with the lexicon leaves the sentiment words alone, before any rule or further lookup, and one
+base row per text, which comes from a pseudo-word at the end of every text. What follows is one sum
+per text: no window over word rows.
 """
 
 from __future__ import annotations
@@ -62,6 +64,9 @@ IDIOMS = {
 }
 
 
+# No word is empty, so this one marks the base row of a text.
+BASE_WORD = ""
+
 # A word with its outer punctuation; it matches only where three characters or more are inside.
 _MARK = "[" + re.escape(PUNCTUATION) + "]"
 _INNER = "(?!" + _MARK + ")" + NOT_WHITESPACE
@@ -95,6 +100,20 @@ def _lexicon_size(lexicon: DataFrame) -> int:
     return lexicon.limit(MAX_BROADCAST_ROWS + 1).count()
 
 
+def _some(words: Column) -> Column:
+    """The words; none for a text that is null."""
+    return F.coalesce(words, F.array().cast("array<string>"))
+
+
+def _hits(rows: DataFrame, lexicon: DataFrame, size: int) -> DataFrame:
+    """Rows of sentiment words with their valence, and the base rows with none."""
+    base = lexicon.sparkSession.range(1).select(
+        F.lit(BASE_WORD).alias("term"), F.lit(None).cast(lexicon.schema["valence"].dataType).alias("valence")
+    )
+    known = lexicon.select("term", "valence").filter(F.col("term") != BASE_WORD).unionAll(base)
+    return lookup_join(rows, known, ["term"], known_rows=size + 1)
+
+
 def plain_scores(
     texts: DataFrame, lexicon: DataFrame, key: str = "id", text: str = "texto"
 ) -> DataFrame:
@@ -102,9 +121,9 @@ def plain_scores(
 
     ``lexicon`` is (term, valence) with lower-case terms, each once.
     """
-    words = _pieces(F.lower(bare_text(F.col(text))))
-    rows = texts.select(key, F.explode_outer(words).alias("term"))
-    found = lookup_join(rows, lexicon, ["term"], "left", known_rows=_lexicon_size(lexicon))
+    words = _some(_pieces(F.lower(bare_text(F.col(text)))))
+    rows = texts.select(key, F.explode(F.concat(words, F.array(F.lit(BASE_WORD)))).alias("term"))
+    found = _hits(rows, lexicon, _lexicon_size(lexicon))
     sums = found.groupBy(key).agg(F.sum(F.coalesce("valence", F.lit(0.0))).alias("total"))
     return sums.select(key, compound_score(F.col("total")).alias("compound"))
 
@@ -134,9 +153,10 @@ def _is_capitals(word: Column) -> Column:
 
 
 def _word_rows(texts: DataFrame, key: str, text: str, descriptions: Mapping[str, str]) -> DataFrame:
-    """One row per word with its neighbours and the marks of its text; one row for an empty text.
+    """One row per word with its neighbours and the marks of its text, and the base row of each text.
 
-    The neighbours are the same array zipped with itself, shifted, so no function runs per word.
+    The neighbours are the same array zipped with itself, shifted, so no function runs per word. The
+    zipped array is longer than the words; what is past the base row is null and meets no lexicon entry.
     """
     said = texts.select(key, strip_whitespace(emoji_as_words(F.col(text), descriptions)).alias("said"))
     bare = said.select(key, _emphasis(F.col("said")).alias("emphasis"), bare_text(F.col("said")).alias("bare"))
@@ -144,22 +164,22 @@ def _word_rows(texts: DataFrame, key: str, text: str, descriptions: Mapping[str,
         key, "emphasis",
         F.regexp_count("bare", F.lit(EACH_CAPITAL_WORD)).alias("capitals"),
         F.array_position(_pieces(F.lower("bare")), "but").alias("but"),
-        _pieces(F.col("bare")).alias("words"),
+        _some(_pieces(F.col("bare"))).alias("words"),
     )
     gap = F.lit(None).cast("string")
     before = [F.concat(F.array(*[gap] * s), F.col("words")).alias(f"w{s}") for s in (1, 2, 3)]
     after = [F.slice("words", s + 1, F.size("words") + 1).alias(f"a{s}") for s in (1, 2)]
     marked = words.select(
-        key, "emphasis", "but", "words", *before, *after,
+        key, "emphasis", "but", F.concat("words", F.array(F.lit(BASE_WORD))).alias("marked"), *before, *after,
         ((F.col("capitals") > 0) & (F.col("capitals") < F.size("words"))).alias("mixed"),
     )
     rows = marked.select(
         key, "emphasis", "mixed", "but",
-        F.posexplode_outer(F.arrays_zip("words", "w1", "w2", "w3", "a1", "a2")).alias("at", "_w"),
+        F.posexplode(F.arrays_zip("marked", "w1", "w2", "w3", "a1", "a2")).alias("at", "_w"),
     )
     return rows.select(
         key, "emphasis", "mixed", "but", (F.col("at") + 1).alias("at"),
-        F.lower("_w.words").alias("term"), F.col("_w.words").alias("word"),
+        F.lower("_w.marked").alias("term"), F.col("_w.marked").alias("word"),
         *[F.col(f"_w.w{s}").alias(f"w{s}") for s in (1, 2, 3)],
         *[F.col(f"_w.a{s}").alias(f"a{s}") for s in (1, 2)],
     )
@@ -266,9 +286,8 @@ def context_scores(
     """
     size = _lexicon_size(lexicon)
     rows = _word_rows(texts, key, text, emoji_descriptions or {})
-    rows = lookup_join(rows, lexicon, ["term"], "left", known_rows=size)
-    # Everything below concerns sentiment words only. For other words it is null, which ends each
-    # lookup and each rule at once; the rows stay, because a text without any has a score too.
+    rows = _hits(rows, lexicon, size)
+    # For base rows everything below is null, which ends each lookup and each rule at once.
     found = F.col("valence").isNotNull()
     loud_near = found & F.col("mixed")
     near_words = F.concat_ws(" ", *[F.lower(c) for c in ("w3", "w2", "w1", "word", "a1", "a2")])

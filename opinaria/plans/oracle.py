@@ -529,6 +529,16 @@ def oracle_sql() -> dict[str, str]:
     sql["lexicon_context_turns"] = with_(VALENCES, TURNS, context_compound("turns", "texto")) + """
         SELECT key AS id, compound FROM context"""
 
+    emoji_turns = """emoji_turns AS (SELECT id,
+        replace(replace(texto, ' the ', '😀 '), ' and ', ' 🙁') AS texto FROM turns),
+    emoji_signs AS (SELECT id, string_split(texto, '') AS signs FROM emoji_turns),
+    emoji_said AS (SELECT id, array_to_string(list_transform(signs, lambda s, i:
+        CASE WHEN s IN ('😀', '🙁') THEN CASE WHEN i > 1 AND signs[i - 1] <> ' ' THEN ' ' ELSE '' END
+            || CASE s WHEN '😀' THEN 'very the' ELSE 'and not' END ELSE s END), '') AS texto FROM emoji_signs)"""
+    sql["emoji_as_words"] = with_(TURNS, emoji_turns) + "SELECT id, texto FROM emoji_said"
+    sql["lexicon_context_emoji"] = with_(VALENCES, TURNS, emoji_turns, context_compound("emoji_said", "texto")) + """
+        SELECT key AS id, compound FROM context"""
+
     sql["prompt_render"] = with_(TURNS) + f"SELECT id, {prompt(external.THREE_CLASS_PROMPT, 'texto')} AS prompt FROM turns"
     sql["prompt_review"] = f"SELECT page_id, {prompt(external.TWO_CLASS_PROMPT, tags('html'))} AS prompt FROM pages"
     sql["answers_kept"] = with_(TURNS, "asked AS (SELECT DISTINCT texto FROM turns WHERE substr(md5(id), 1, 1) < '8')") + f"""
@@ -575,6 +585,13 @@ def oracle_sql() -> dict[str, str]:
         f"""SELECT '{c}' AS "column", '{t}' AS type, count(*) AS rows, count({c}) AS non_null FROM documents"""
         for c, t in (("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "bigint"))
     )
+    sql["merged_profile"] = " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", '{t}' AS type, count(*) AS rows, count({c}) AS non_null,
+            count(DISTINCT {c}) AS "distinct" FROM documents"""
+        for c, t in (("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "bigint"))
+    )
+    sql["processed_head"] = with_(FULL_WORDS) + """SELECT f.id, f.label, d.text, array_to_string(f.w, ' ') AS processed
+        FROM full_words f JOIN documents d ON d.doc_id = f.id ORDER BY f.id LIMIT 5"""
     sql["text_lengths"] = """SELECT count(text) AS n, min(length(text))::BIGINT AS shortest,
         max(length(text))::BIGINT AS longest FROM documents"""
 

@@ -19,7 +19,7 @@ from opinaria.functions import text as X
 from opinaria.functions.stop_words import stop_words
 from opinaria.operators import evaluate as ev
 from opinaria.operators import counts as ct
-from opinaria.operators import answer_store, external, lexicon, search, summary
+from opinaria.operators import answer_store, external, lexicon, profile, search, summary
 from opinaria.operators import naive_bayes as nb
 from opinaria.operators import tokens as tk
 from opinaria.operators.row_ids import with_row_ids, with_row_ids_within
@@ -583,6 +583,30 @@ def lexicon_context_turns(spark, sf):
     return lexicon.context_scores(turn_texts(spark, sf), word_valences(spark, sf))
 
 
+# Emoji stand for two frequent words of the turns; each is written out again by a description.
+EMOJI = {" the ": "😀 ", " and ": " 🙁"}
+EMOJI_DESCRIPTIONS = {"😀": "very the", "🙁": "and not"}
+
+
+def emoji_texts(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.col("texto")
+    for word, emoji in EMOJI.items():
+        text = F.replace(text, F.lit(word), F.lit(emoji))
+    return turn_texts(spark, sf).select("id", text.alias("texto"))
+
+
+@query
+def emoji_as_words(spark, sf):
+    said = lexicon.emoji_as_words(F.col("texto"), EMOJI_DESCRIPTIONS)
+    return emoji_texts(spark, sf).select("id", said.alias("texto"))
+
+
+@query
+def lexicon_context_emoji(spark, sf):
+    return lexicon.context_scores(
+        emoji_texts(spark, sf), word_valences(spark, sf), emoji_descriptions=EMOJI_DESCRIPTIONS)
+
+
 # ---- external classifier ------------------------------------------------------------------------
 
 
@@ -709,6 +733,24 @@ def table_profile(spark, sf):
     return summary.table_profile(read_table(spark, f"{sf}/documents.parquet"))
 
 
+@query
+def merged_profile(spark, sf):
+    """The table profiled in three batches, one by one; their kept sketches merged, the table not read again."""
+    path = new_path(spark, "profile")
+    table = read_table(spark, f"{sf}/documents.parquet")
+    for i, name in enumerate(("first", "second", "third")):
+        profile.keep_profile(table.filter(F.pmod("doc_id", F.lit(3)) == i), path, name)
+    return profile.merged_profile(profile.kept_profile(spark, path))
+
+
+@query
+def processed_head(spark, sf):
+    """The first reviews as they came and as they are trained on: the look at the data before training."""
+    words = tk.word_array(F.col("text"), language=F.col("lang"), stop_words=stop_lists(), stem=True)
+    first = ev.head(reviews(spark, sf), n=5)
+    return first.select("id", "label", "text", X.rejoin(words).alias("processed"))
+
+
 @query
 def text_lengths(spark, sf):
     return summary.text_lengths(read_table(spark, f"{sf}/documents.parquet", "text"), "text")
@@ -737,7 +779,8 @@ def csv_round_trip(spark, sf):
     path = new_path(spark, "raw")
     texts = posts.texts_of_posts(*post_tables(spark, sf))
     files.write_raw_texts(texts, path, "post_id", "pos")
-    return files.read_manual_texts(spark, path)
+    # Cleaned texts have no line breaks, so these files may be split.
+    return files.read_manual_texts(spark, path, multi_line=False)
 
 
 @query
@@ -746,7 +789,7 @@ def raw_export_ids(spark, sf):
     path = new_path(spark, "raw")
     texts = posts.texts_of_posts(*post_tables(spark, sf))
     files.write_raw_texts(texts, path, "post_id", "pos")
-    raw = files.read_csv(spark, path, ("id", files.TEXT_COLUMN))
+    raw = files.read_csv(spark, path, ("id", files.TEXT_COLUMN), multi_line=False)
     return raw.select(F.col("id").cast("bigint").alias("id"), F.col(f"`{files.TEXT_COLUMN}`").alias("texto"))
 
 
@@ -756,7 +799,7 @@ def raw_export_by_keyword(spark, sf):
     path = new_path(spark, "raw-by-keyword")
     texts = posts.texts_of_posts(*post_tables(spark, sf)).withColumnRenamed("origem", "keyword")
     files.write_raw_texts_by_keyword(texts, path, "post_id", "pos")
-    raw = files.read_csv(spark, path, ("id", files.TEXT_COLUMN, "keyword"))
+    raw = files.read_csv(spark, path, ("id", files.TEXT_COLUMN, "keyword"), multi_line=False)
     return raw.select(
         "keyword", F.col("id").cast("bigint").alias("id"), F.col(f"`{files.TEXT_COLUMN}`").alias("texto")
     )
@@ -768,7 +811,7 @@ def labelled_file_counts(spark, sf):
     path = new_path(spark, "labelled")
     rows = response_labels(spark, sf).withColumnRenamed(files.MODEL_LABEL, "sent_gpt5")
     rows.write.options(sep=files.SEPARATOR, header=True, quote='"', escape='"').csv(path)
-    return answers.labelled_file_counts(spark, path)
+    return answers.labelled_file_counts(spark, path, multi_line=False)
 
 
 @query

@@ -88,22 +88,26 @@ def _writer(df: DataFrame) -> DataFrameWriter:
     )
 
 
+# The writers number the rows first: that is checkpointed, so asking whether there are any rows reads
+# the checkpoint and does not run the plan of the input (searches, scorers) again.
+
+
 def write_raw_texts(df: DataFrame, path: str, *order: str) -> bool:
     """Write (id, comentario/review) with dense ids in ``order``; nothing for an empty table."""
-    if df.isEmpty():
-        return False
     numbered = with_row_ids(df.select("texto", *[c for c in order if c != "texto"]), *order, name="_id")
+    if numbered.isEmpty():
+        return False
     _writer(numbered.select(F.col("_id").alias("id"), F.col("texto").alias(TEXT_COLUMN))).csv(path)
     return True
 
 
 def write_raw_texts_by_keyword(df: DataFrame, path: str, *order: str) -> bool:
     """As ``write_raw_texts`` for many searches: one folder, and ids from 1, per ``keyword``."""
-    if df.isEmpty():
-        return False
     numbered = with_row_ids_within(df, "keyword", *order, name="_id").select(
         F.col("_id").alias("id"), F.col("texto").alias(TEXT_COLUMN), "keyword"
     )
+    if numbered.isEmpty():
+        return False
     _writer(numbered).partitionBy("keyword").csv(path)
     return True
 
@@ -116,9 +120,9 @@ def results_layout(df: DataFrame) -> DataFrame:
 
 def write_results(df: DataFrame, path: str, *order: str) -> bool:
     """Write classified rows with dense ids in ``order``; nothing for an empty table."""
-    if df.isEmpty():
-        return False
     numbered = with_row_ids(df, *order, name="_id").drop("id").withColumnRenamed("_id", "id")
+    if numbered.isEmpty():
+        return False
     _writer(results_layout(numbered)).csv(path)
     return True
 

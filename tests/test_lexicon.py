@@ -151,3 +151,36 @@ def test_label_column_keeps_every_row(spark, lexicon):
     df = spark.createDataFrame([(1, "great"), (2, "bad"), (3, "mesa")], "id bigint, texto string")
     got = {r["id"]: r["sent_vader"] for r in lx.with_lexicon_label(df, lexicon).collect()}
     assert got == {1: "positivo", 2: "negativo", 3: "neutro"}
+
+
+def test_texts_without_sentiment_words_and_nulls_keep_a_row(spark, lexicon):
+    rows = [(1, None), (2, ""), (3, "mesa !!!"), (4, "very"), (5, "no"), (6, "no very"), (7, "good")]
+    df = spark.createDataFrame(rows, "id bigint, texto string")
+    got = {r["id"]: r["compound"] for r in lx.context_scores(df, lexicon).collect()}
+    assert got == {i: expected(t or "") for i, t in rows}
+    assert lx.context_scores(df.limit(0), lexicon).count() == 0
+    assert lx.plain_scores(df.limit(0), lexicon).count() == 0
+
+
+def test_a_large_lexicon_is_joined_by_shuffle_with_the_same_scores(spark, lexicon, monkeypatch):
+    df = spark.createDataFrame(list(enumerate([*SENTENCES, None])), "id bigint, texto string")
+    context, plain = (sorted(map(tuple, f(df, lexicon).collect())) for f in (lx.context_scores, lx.plain_scores))
+    monkeypatch.setattr(lx, "_lexicon_size", lambda _: 10**9)
+    large = lx.context_scores(df, lexicon)
+    assert sorted(map(tuple, large.collect())) == context
+    assert sorted(map(tuple, lx.plain_scores(df, lexicon).collect())) == plain
+
+
+def test_a_lexicon_with_other_columns_and_an_empty_term(spark, lexicon):
+    wide = lexicon.selectExpr("term", "valence", "1 AS word", "2 AS id").unionAll(
+        spark.createDataFrame([("", 9.0, 1, 2)], "term string, valence double, word int, id int"))
+    df = spark.createDataFrame(list(enumerate(SENTENCES)), "id bigint, texto string")
+    for scores in (lx.context_scores, lx.plain_scores):
+        assert sorted(map(tuple, scores(df, wide).collect())) == sorted(map(tuple, scores(df, lexicon).collect()))
+
+
+def test_only_sentiment_words_reach_the_rules(spark, lexicon):
+    df = spark.createDataFrame([(1, "one good word among many others")], "id bigint, texto string")
+    plan = lx.context_scores(df, lexicon)._jdf.queryExecution().optimizedPlan().toString()
+    first = [line for line in plan.splitlines() if "Join" in line][-1]
+    assert "Join Inner" in first

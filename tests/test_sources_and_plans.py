@@ -338,3 +338,20 @@ def test_no_class_is_cut(spark):
     rows = spark.createDataFrame([("a", ["t0001"])], "label string, words array<string>")
     with pytest.raises(ValueError):
         nb.fit(rows, vocab=terms, labels=[f"c{i}" for i in range(nb.MAX_CLASSES + 1)])
+
+
+def test_sinks_run_the_plan_of_their_input_no_more_than_the_sort_does(spark, tmp_path):
+    """The sort looks at its input once for its bounds and once to move it; asking for emptiness adds no run."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(20, numPartitions=2).selectExpr("CAST(id AS string) AS texto")
+    df = df.mapInArrow(counted, df.schema)
+    assert files.write_raw_texts(df, str(tmp_path / "raw"), "texto")
+    assert seen.value <= 40
+    assert not files.write_raw_texts(df.limit(0), str(tmp_path / "none"), "texto")
+    assert not os.path.exists(tmp_path / "none")
