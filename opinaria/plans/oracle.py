@@ -465,6 +465,8 @@ def oracle_sql() -> dict[str, str]:
     sql["document_terms"] = with_(DOC_WORDS, DOC_TERMS, DOC_VOCAB) + """SELECT t.doc_id, v.term_idx, count(*) AS n
         FROM doc_terms t JOIN vocab v ON t.term = v.term GROUP BY t.doc_id, v.term_idx"""
     sql["vocabulary_top1000"] = with_(DOC_WORDS, DOC_TERMS, DOC_VOCAB) + "SELECT term, term_idx FROM vocab"
+    sql["vocabulary_heavy"] = with_(DOC_WORDS, DOC_TERMS) + """SELECT term, count(*) AS n
+        FROM doc_terms GROUP BY term ORDER BY n DESC, term LIMIT 1000"""
     sql["vocabulary_first50"] = sql["vocabulary_top1000"] + " ORDER BY term LIMIT 50"
 
     sql["label_map"] = """SELECT doc_id, CASE WHEN toxic = 1 THEN NULL WHEN quality = 1 THEN 'positivo'

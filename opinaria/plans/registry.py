@@ -19,7 +19,7 @@ from opinaria.functions import text as X
 from opinaria.functions.stop_words import stop_words
 from opinaria.operators import evaluate as ev
 from opinaria.operators import counts as ct
-from opinaria.operators import answer_store, external, lexicon, profile, search, summary
+from opinaria.operators import answer_store, external, heavy_terms, lexicon, profile, search, summary
 from opinaria.operators import naive_bayes as nb
 from opinaria.operators import tokens as tk
 from opinaria.operators.row_ids import with_row_ids, with_row_ids_within
@@ -290,6 +290,12 @@ def vocabulary_top1000(spark, sf):
     return tk.vocabulary(document_words(spark, sf))
 
 
+@query
+def vocabulary_heavy(spark, sf):
+    """The vocabulary's terms with their counts, from bounded summaries and an exact recount."""
+    return heavy_terms.heavy_terms(materialise(document_words(spark, sf), "words"))
+
+
 @query
 def vocabulary_first50(spark, sf):
     return tk.first_terms(tk.vocabulary(document_words(spark, sf)))
