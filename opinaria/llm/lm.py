@@ -30,6 +30,8 @@ from opinaria.llm.steps import written
 
 SLICE = 6_000_000
 KEYS_PER_PART = 2_000_000
+# Slices are written once and dealt again with their totals; a higher level costs little beside the counting.
+SLICE_LEVEL = 5
 # Fewer values than this are sent as they are: frames of planes would be longer and dearer than they.
 LEAST_PLANES = 64
 # What a document is for: its counts, or weights (held out from the counts at first), or neither.
@@ -48,7 +50,7 @@ def slices(docs: DataFrame) -> DataFrame:
 
         def made(kind: int) -> pa.RecordBatch:
             table = pa.Table.from_batches(waiting.pop(kind)).combine_chunks()
-            sink, options = pa.BufferOutputStream(), pa.ipc.IpcWriteOptions(compression="zstd")
+            sink, options = pa.BufferOutputStream(), pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", SLICE_LEVEL))
             with pa.ipc.new_stream(sink, table.schema, options=options) as out:
                 out.write_table(table)
             row = [uuid.uuid4().int >> 65], [kind], [sizes.pop(kind)], [sink.getvalue().to_pybytes()]
@@ -156,7 +158,9 @@ def packets(made: DataFrame, parts: int) -> DataFrame:
     return made.select("slice", "kind", "payload").mapInArrow(sent, PACKET)
 
 
-TOTALS = "part int, slice long, counted1 array<binary>, weighed1 array<binary>, counted2 array<binary>, weighed2 array<binary>, stats array<long>"
+TOTALS = "part int, slice long, kind int, counted1 array<binary>, weighed1 array<binary>, counted2 array<binary>, weighed2 array<binary>, stats array<long>"
+# The totals that slices are sent: weights are learned with the first two alone.
+COUNTS = ("counted1", "counted2", "weighed1", "weighed2")
 
 
 def add_up(table: pa.Table) -> pa.Table:
@@ -183,26 +187,27 @@ def add_up(table: pa.Table) -> pa.Table:
             stats = [int(totals[0].sum()), int(totals[0].sum() + totals[1].sum()), int(((totals[0] + totals[1]) > 0).sum())]
     rows = len(kinds)
     parts = table["part"].to_pylist()
-    columns = [pa.array([*parts, parts[0]], pa.int32()), pa.array([*table["slice"].to_pylist(), None], pa.int64())]
+    columns = [pa.array([*parts, parts[0]], pa.int32()), pa.array([*table["slice"].to_pylist(), None], pa.int64()),
+               pa.array([*kinds.tolist(), None], pa.int32())]
     columns += [pa.array([*c, None], PLANES) for c in out]
     columns.append(pa.array([*[None] * rows, stats], pa.list_(pa.int64())))
-    return pa.Table.from_arrays(columns, names=["part", "slice", "counted1", "weighed1", "counted2", "weighed2", "stats"])
+    return pa.Table.from_arrays(columns, names=["part", "slice", "kind", "counted1", "weighed1", "counted2", "weighed2", "stats"])
 
 
-def with_totals(made: DataFrame, totals: DataFrame) -> DataFrame:
-    """Slices with what all parts sent back, in the order of the parts; one row per slice."""
+def with_totals(made: DataFrame, totals: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """Slices with the named totals that all parts sent back, in the order of the parts; one row per slice."""
     sent = totals.filter("slice IS NOT NULL").groupBy("slice").agg(F.array_sort(F.collect_list(
-        F.struct("part", "counted1", "weighed1", "counted2", "weighed2"))).alias("sent"))
+        F.struct("part", *names))).alias("sent"))
     return made.join(sent.hint("shuffle_hash"), "slice").select("kind", "payload", "sent")
 
 
-def token_counts(tokens: Tokens, sent: list[dict]) -> dict[str, np.ndarray]:
-    """For every distinct word and pair of a slice, its counts in both training parts."""
+def token_counts(sent: list[dict], names: tuple[str, ...]) -> dict[str, np.ndarray]:
+    """For every distinct word and pair of a slice, the named ones of its counts in both training parts."""
     def joined(name: str) -> np.ndarray:
         parts = [unpack_counts(row[name]) for row in sent]
         return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
-    return {name: joined(name) for name in ("counted1", "weighed1", "counted2", "weighed2")}
+    return {name: joined(name) for name in names}
 
 
 def bucket_of(context: np.ndarray) -> np.ndarray:
@@ -219,7 +224,7 @@ def held_out_table(joined: DataFrame, n_counted: int) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 tokens = Tokens(batch["payload"][row].as_py())
-                counts = token_counts(tokens, batch["sent"][row].as_py())
+                counts = token_counts(batch["sent"][row].as_py(), COUNTS[:2])
                 one, two = counts["counted1"], counts["counted2"]
                 context = one[tokens.context_at]
                 p2 = two[tokens.pair_at] / np.maximum(context, 1)
@@ -268,7 +273,7 @@ def scored(joined: DataFrame, weights: np.ndarray, n_all: int, distinct: int) ->
         for batch in batches:
             for row in range(batch.num_rows):
                 tokens = Tokens(batch["payload"][row].as_py())
-                counts = token_counts(tokens, batch["sent"][row].as_py())
+                counts = token_counts(batch["sent"][row].as_py(), COUNTS)
                 one, two = counts["counted1"] + counts["weighed1"], counts["counted2"] + counts["weighed2"]
                 word, context = one[tokens.word_at], one[tokens.context_at]
                 w = weights[bucket_of(context)]
@@ -304,9 +309,10 @@ def score_texts(docs: DataFrame, kind: Column, id_col: str = "doc_id", text_col:
     totals = written(packets(made, parts).groupBy("part").applyInArrow(add_up, TOTALS), "lm-totals")
     sums = totals.filter("slice IS NULL").select(*(F.sum(F.col("stats")[i]) for i in range(3))).first()
     n_counted, n_all, distinct = (x or 0 for x in sums)
-    weighed = with_totals(made.filter(F.col("kind") == WEIGHED), totals)
+    teaches = F.col("kind") == WEIGHED
+    weighed = with_totals(made.filter(teaches), totals.filter(teaches), COUNTS[:2])
     weights = learn_weights([tuple(r) for r in held_out_table(weighed, n_counted).collect()], distinct)
-    done = scored(with_totals(made, totals), weights, n_all, distinct)
+    done = scored(with_totals(made, totals, COUNTS), weights, n_all, distinct)
     return done.withColumn("train_tokens", F.lit(n_all).cast("long"))
 
 

@@ -422,3 +422,18 @@ def test_packed_keys_and_counts_come_back(size, most):
     counts = np.array([rnd.randint(1, most) for _ in range(size)], dtype=np.int64)
     assert lm.unpack_keys(lm.pack_keys(keys), size).tolist() == keys.tolist()
     assert lm.unpack_counts(lm.pack_counts(counts)).tolist() == counts.tolist()
+
+
+def test_weights_are_learned_from_their_own_slices_totals_alone(texts):
+    """Totals name their slice's kind, so that the other slices' need not be moved to learn the weights."""
+    docs = texts([(i, f"the {i} cat{i % 7} sat") for i in range(60)]).select(
+        F.col("doc_id").alias("_id"), F.col("text").alias("_text"), (F.col("doc_id") % 3).cast("int").alias("_kind"))
+    made = lm.written(lm.slices(docs), "kinds-test")
+    totals = lm.written(lm.packets(made, 4).groupBy("part").applyInArrow(lm.add_up, lm.TOTALS), "kinds-totals")
+    own = totals.filter(F.col("kind") == lm.WEIGHED)
+    assert {r["slice"] for r in own.collect()} == {r["slice"] for r in made.filter(F.col("kind") == lm.WEIGHED).collect()}
+    assert own.count() < totals.filter("slice IS NOT NULL").count()
+    names = ("counted1", "counted2")
+    weighed = made.filter(F.col("kind") == lm.WEIGHED)
+    few, all_ = (sorted(map(str, lm.with_totals(weighed, t, names).collect())) for t in (own, totals))
+    assert few and few == all_
