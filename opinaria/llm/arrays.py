@@ -19,6 +19,8 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _POSITION_BITS = np.uint64(31)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+# What operators keep in a worker process between tasks, by their names.
+_kept: dict[str, dict] = {}
 
 
 def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -32,9 +34,20 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterato
         yield batch.slice(a, b - a)
 
 
-def give_back() -> None:
-    """Return to the system what earlier work of this worker process keeps: tables, Arrow's and C's free memory."""
+def kept(name: str) -> dict:
+    """The table that an operator keeps in this worker process until another one asks for its memory."""
+    return _kept.setdefault(name, {})
+
+
+def give_back(own: str = "") -> None:
+    """Return to the system what earlier work of this worker process keeps: tables, Arrow's and C's free memory.
+
+    The table kept under the name ``own`` stays.
+    """
     _powers.clear()
+    for name, table in _kept.items():
+        if name != own:
+            table.clear()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:

@@ -30,7 +30,8 @@ REMEMBERED = 300_000
 _RUNS = re.compile(" +[^ ]+| +$")
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 ENCODED = A.struct_type(n_tokens="long", ids="string", decoded="string")
-_models: dict[str, PrefixTable] = {}
+KEPT = "pieces"
+_models: dict[str, PrefixTable] = A.kept(KEPT)
 
 
 def fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
@@ -258,7 +259,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     """(_id, n_tokens, ids_sha256, decoded_sha256): the strings are digested where they are made."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        A.give_back()
+        A.give_back(KEPT)
         table = model(path)
         for batch in (part for whole in batches for part in A.slices(whole, "_text", 4 * A.SLICE_BYTES)):
             n, ids, back = [], [], []

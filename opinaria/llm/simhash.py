@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opinaria.llm import arrays as A
 from opinaria.llm.steps import written
 from opinaria.sources.scratch import materialise
 
@@ -53,7 +54,8 @@ def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int
     """(_id, fp): A-Z are lower-cased; a null text is an empty one."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        A.give_back()
+        for batch in (part for whole in batches for part in A.slices(whole, "_text")):
             prints = [fingerprint((t or "").encode().lower().split(), shingle) for t in batch["_text"].to_pylist()]
             values = np.array(prints, dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch["_id"], pa.array(values)], names=["_id", "fp"])

@@ -39,7 +39,8 @@ _ODD = r"[\x{1c}-\x{1f}\x{85}\x{180e}\x{200b}\x{feff}]"
 _INNER = re.compile(r"(?<=\S) (?=\S)")
 _SPACE = r"[\s\v\p{Z}]"
 _DOUBLE = f"{_SPACE}{_SPACE}|^{_SPACE}|{_SPACE}$"
-_encoders: dict[str, PieceEncoder] = {}
+KEPT = "token files"
+_encoders: dict[str, PieceEncoder] = A.kept(KEPT)
 
 
 def split_piece(piece: str) -> Sequence[str]:

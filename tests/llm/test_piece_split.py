@@ -1,9 +1,11 @@
 """Pieces between spaces: the short way gives the words of the published pattern, and the library's ids."""
 
+import public_tokenizers
 import pyarrow as pa
 from test_operators import BYTES
 
-from opinaria.llm import token_files
+from opinaria.llm import arrays as A
+from opinaria.llm import pieces, queries, token_files
 
 ODD = ("", " ", "a", " a", "a,", ",", " ,", " a,", "don't", " don't", "'s", " 's", "x's.", "ab!!", " ab)", "a1", " 1.", "é", " été;",
        "ª", " ʰa", "日本", "日本。", "a\nb", "a\n", "\n", "\t\n", "ab.\nCd", "x́y", "ⅷ", " ab$$$", "ß?", "İ", "a　b", "　")
@@ -21,3 +23,13 @@ def test_ids_equal_the_library_also_after_a_cut_of_what_is_remembered(monkeypatc
     for _ in range(3):
         got = coder.encode(pa.array(texts, pa.string()))
         assert got == [coder.ids(t) for t in texts]
+
+
+def test_other_operators_tables_are_given_back():
+    """What an encoder remembers must not stay in a worker that goes on to another operator."""
+    path = public_tokenizers.path(queries.PIECES)
+    pieces.model(path).run("▁word")
+    A.give_back(pieces.KEPT)
+    assert pieces.model(path).known
+    A.give_back()
+    assert not A.kept(pieces.KEPT) and not pieces.model(path).known
