@@ -1,10 +1,10 @@
 """Lexicon scores: word valences summed per text, plain or with the published context rules.
 
 The rules (Hutto and Gilbert 2014) look at the three words before a sentiment word and at the two
-after it. Each word row therefore takes those neighbours along from inside its own document. An inner
-join with the lexicon leaves the sentiment words alone, before any rule or further lookup, and one
-base row per text, which comes from a pseudo-word at the end of every text. What follows is one sum
-per text: no window over word rows.
+after it. Each word row therefore refers to the words of its own document. An inner join with the
+lexicon leaves the sentiment words alone, before any rule, neighbour or further lookup, and one base
+row per text, which comes from a pseudo-word at the end of every text. What follows is one sum per
+text: no window over word rows.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinaria.functions.labels import label_from_compound
-from opinaria.functions.text import NOT_WHITESPACE, collapse_whitespace, strip_whitespace
+from opinaria.functions.text import WHITESPACE
 from opinaria.operators.dimension import MAX_BROADCAST_ROWS, lookup_join
 
 # The published constants and word lists of the context rules.
@@ -62,33 +62,55 @@ IDIOMS = {
     "yeah right": -2.0, "kiss of death": -1.5, "to die for": 3.0, "beating heart": 3.1,
     "broken heart": -2.9,
 }
-
+# Of each idiom and pair of dampeners the rarest word: without one of them there is no such phrase.
+PHRASE_WORDS = tuple("shit bomb ass badass stop right kiss die beating broken enough kind sort".split())
 
 # No word is empty, so this one marks the base row of a text.
 BASE_WORD = ""
 
-# A word with its outer punctuation; it matches only where three characters or more are inside.
 _MARK = "[" + re.escape(PUNCTUATION) + "]"
-_INNER = "(?!" + _MARK + ")" + NOT_WHITESPACE
-PUNCTUATED = (
-    f"(?<!{NOT_WHITESPACE}){_MARK}*+({_INNER}{NOT_WHITESPACE}{{{SHORT_WORD - 1},}}{_INNER})"
-    f"{_MARK}*(?!{NOT_WHITESPACE})"
-)
+_INNER = "(?!" + _MARK + ")[^ ]"
+# White space that is not one plain space between words: most texts have little of it to replace.
+UNEVEN_WHITESPACE = f"[{WHITESPACE}&&[^ ]]{WHITESPACE}*+| {WHITESPACE}++"
 # A word of capitals: an upper-case letter, and no letter of lower or title case. The parts cannot
 # give characters back, so a long word is read once.
 _SMALL = r"\p{Ll}\p{Lt}ªº\s\x1c-\x1f\x85\p{Z}"
 CAPITAL_WORD = rf"[^{_SMALL}\p{{Lu}}]*+\p{{Lu}}[^{_SMALL}]*+"
-EACH_CAPITAL_WORD = f"(?<!{NOT_WHITESPACE}){CAPITAL_WORD}(?!{NOT_WHITESPACE})"
+# The following are looked for in words with one space before each and one at the end.
+# A word with punctuation at its start or end; it matches only where three characters or more are inside.
+PUNCTUATED = f" (?={_MARK}|[^ ]*+(?<={_MARK}) ){_MARK}*+({_INNER}[^ ]{{{SHORT_WORD - 1},}}{_INNER}){_MARK}*(?= )"
+A_CAPITAL_WORD = f" {CAPITAL_WORD} "
+OTHER_WORD = r"[\p{Ll}\p{Lt}ªº]| [^\p{Lu} ]+ "
+BUT = f" {_MARK}*but{_MARK}* "
+
+
+def _one_line(text: Column) -> Column:
+    """The words of a text as they are, one space apart."""
+    return F.trim(F.regexp_replace(text, UNEVEN_WHITESPACE, " "))
+
 
+def _pieces(line: Column) -> Column:
+    """The words of a line; none for a text that is empty or null."""
+    return F.when(F.coalesce(line, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(line, " "))
 
-def bare_text(text: Column) -> Column:
-    """Words in their own case, one space apart, outer punctuation taken off unless two characters
-    or fewer are left."""
-    return F.regexp_replace(collapse_whitespace(text), PUNCTUATED, "$1")
 
+def _bare_line(line: Column) -> Column:
+    """The words in their own case, outer punctuation taken off unless two characters or fewer are left."""
+    return F.trim(F.regexp_replace(F.concat(F.lit(" "), line, F.lit(" ")), PUNCTUATED, " $1"))
 
-def _pieces(bare: Column) -> Column:
-    return F.array_remove(F.split(bare, " "), "")
+
+def _mixed(line: Column) -> Column:
+    """Whether some words, but not all, are in capitals."""
+    spaced = F.concat(F.lit(" "), line, F.lit(" "))
+    return spaced.rlike(A_CAPITAL_WORD) & spaced.rlike(OTHER_WORD)
+
+
+def _place_of_but(line: Column) -> Column:
+    """The place, from 1, of the first 'but'; null without one."""
+    lowered = F.lower(line)
+    parts = F.split(F.concat(F.lit(" "), lowered, F.lit(" ")), BUT, 2)
+    place = _count(parts[0], " ") + 1
+    return F.when(lowered.contains("but") & (F.size(parts) == 2), place)
 
 
 def compound_score(total: Column) -> Column:
@@ -100,20 +122,26 @@ def _lexicon_size(lexicon: DataFrame) -> int:
     return lexicon.limit(MAX_BROADCAST_ROWS + 1).count()
 
 
-def _some(words: Column) -> Column:
-    """The words; none for a text that is null."""
-    return F.coalesce(words, F.array().cast("array<string>"))
-
-
 def _hits(rows: DataFrame, lexicon: DataFrame, size: int) -> DataFrame:
     """Rows of sentiment words with their valence, and the base rows with none."""
     base = lexicon.sparkSession.range(1).select(
         F.lit(BASE_WORD).alias("term"), F.lit(None).cast(lexicon.schema["valence"].dataType).alias("valence")
     )
-    known = lexicon.select("term", "valence").filter(F.col("term") != BASE_WORD).unionAll(base)
+    # An empty term becomes null, which meets no word; a filter would be inferred for every word row too.
+    known = lexicon.select(F.nullif("term", F.lit(BASE_WORD)).alias("term"), "valence").unionAll(base)
     return lookup_join(rows, known, ["term"], known_rows=size + 1)
 
 
+def _words_and_base(words: DataFrame, *keep: str) -> DataFrame:
+    """(kept columns, at, word): a row per word and the base row, places from 1.
+
+    The outer form of explode keeps the optimizer from putting a size filter in front, which would
+    split every text again; no word is null.
+    """
+    rows = words.select(*keep, F.posexplode_outer(F.concat("words", F.array(F.lit(BASE_WORD)))).alias("at", "word"))
+    return rows.select(*keep, (F.col("at") + 1).alias("at"), F.coalesce("word", F.lit(BASE_WORD)).alias("word"))
+
+
 def plain_scores(
     texts: DataFrame, lexicon: DataFrame, key: str = "id", text: str = "texto"
 ) -> DataFrame:
@@ -121,8 +149,8 @@ def plain_scores(
 
     ``lexicon`` is (term, valence) with lower-case terms, each once.
     """
-    words = _some(_pieces(F.lower(bare_text(F.col(text)))))
-    rows = texts.select(key, F.explode(F.concat(words, F.array(F.lit(BASE_WORD)))).alias("term"))
+    words = texts.select(key, _pieces(F.lower(_bare_line(_one_line(F.col(text))))).alias("words"))
+    rows = _words_and_base(words, key).select(key, F.col("word").alias("term"))
     found = _hits(rows, lexicon, _lexicon_size(lexicon))
     sums = found.groupBy(key).agg(F.sum(F.coalesce("valence", F.lit(0.0))).alias("total"))
     return sums.select(key, compound_score(F.col("total")).alias("compound"))
@@ -149,39 +177,54 @@ def emoji_as_words(text: Column, descriptions: Mapping[str, str]) -> Column:
 
 
 def _is_capitals(word: Column) -> Column:
-    return word.rlike(f"^{CAPITAL_WORD}$")
+    """Most words are ASCII in lower case, which needs no pattern."""
+    plain = (F.length(word) == F.octet_length(word)) & (F.lower(word) == word)
+    return ~plain & word.rlike(f"^{CAPITAL_WORD}$")
 
 
 def _word_rows(texts: DataFrame, key: str, text: str, descriptions: Mapping[str, str]) -> DataFrame:
-    """One row per word with its neighbours and the marks of its text, and the base row of each text.
+    """One row per word with all words and the marks of its text, and the base row of each text.
 
-    The neighbours are the same array zipped with itself, shifted, so no function runs per word. The
-    zipped array is longer than the words; what is past the base row is null and meets no lexicon entry.
+    Every row refers to the words of its text, which are copied only where a row is kept: take what is
+    needed of them right after the join with the lexicon.
     """
-    said = texts.select(key, strip_whitespace(emoji_as_words(F.col(text), descriptions)).alias("said"))
-    bare = said.select(key, _emphasis(F.col("said")).alias("emphasis"), bare_text(F.col("said")).alias("bare"))
-    words = bare.select(
-        key, "emphasis",
-        F.regexp_count("bare", F.lit(EACH_CAPITAL_WORD)).alias("capitals"),
-        F.array_position(_pieces(F.lower("bare")), "but").alias("but"),
-        _some(_pieces(F.col("bare"))).alias("words"),
-    )
-    gap = F.lit(None).cast("string")
-    before = [F.concat(F.array(*[gap] * s), F.col("words")).alias(f"w{s}") for s in (1, 2, 3)]
-    after = [F.slice("words", s + 1, F.size("words") + 1).alias(f"a{s}") for s in (1, 2)]
-    marked = words.select(
-        key, "emphasis", "but", F.concat("words", F.array(F.lit(BASE_WORD))).alias("marked"), *before, *after,
-        ((F.col("capitals") > 0) & (F.col("capitals") < F.size("words"))).alias("mixed"),
+    said = texts.select(key, emoji_as_words(F.col(text), descriptions).alias("said"))
+    lines = said.select(key, _emphasis(F.col("said")).alias("emphasis"), _one_line(F.col("said")).alias("line"))
+    words = lines.select(
+        key, "emphasis", _mixed(F.col("line")).alias("mixed"), _place_of_but(F.col("line")).alias("but"),
+        _pieces(_bare_line(F.col("line"))).alias("words"),
     )
-    rows = marked.select(
-        key, "emphasis", "mixed", "but",
-        F.posexplode(F.arrays_zip("marked", "w1", "w2", "w3", "a1", "a2")).alias("at", "_w"),
+    rows = _words_and_base(words, key, "emphasis", "mixed", "but", "words")
+    return rows.withColumn("term", F.lower("word"))
+
+
+def _with_near_words(rows: DataFrame, key: str) -> DataFrame:
+    """Sentiment words with the words before (p) and behind (n) them, and what the rules ask of each.
+
+    For base rows all of it is null, which ends each lookup and each rule at once. The test for phrases
+    keeps the rules here out of the generated code of the joins around them, as the fold below does.
+    """
+    marks = (key, "emphasis", "mixed", "but", "at", "term", "valence")
+    found = F.col("valence").isNotNull()
+
+    def near(offset: int) -> Column:
+        return F.get("words", F.when(found, F.col("at") - 1 + offset))
+
+    rows = rows.select(*marks, "word", *[near(-s).alias(f"w{s}") for s in (1, 2, 3)],
+                       *[near(s).alias(f"a{s}") for s in (1, 2)])
+    loud_near = found & F.col("mixed")
+    rows = rows.select(
+        *marks, F.when(loud_near, _is_capitals(F.col("word"))).alias("caps"),
+        *[F.lower(f"w{s}").alias(f"p{s}") for s in (1, 2, 3)],
+        *[F.when(loud_near, _is_capitals(F.col(f"w{s}"))).alias(f"caps{s}") for s in (1, 2, 3)],
+        *[F.lower(f"a{s}").alias(f"n{s}") for s in (1, 2)],
     )
+    around = F.array("p3", "p2", "p1", "term", "n1", "n2")
+    phrase = F.coalesce(F.exists(around, lambda w: w.isin(*PHRASE_WORDS)), F.lit(False))
     return rows.select(
-        key, "emphasis", "mixed", "but", (F.col("at") + 1).alias("at"),
-        F.lower("_w.marked").alias("term"), F.col("_w.marked").alias("word"),
-        *[F.col(f"_w.w{s}").alias(f"w{s}") for s in (1, 2, 3)],
-        *[F.col(f"_w.a{s}").alias(f"a{s}") for s in (1, 2)],
+        *rows.columns, F.when(found, phrase).alias("phrase"),
+        *[F.when(found, rule(F.col(f"p{s}"))).alias(f"{name}{s}")
+          for s in (1, 2, 3) for name, rule in (("direction", _direction), ("negates", _is_negation))],
     )
 
 
@@ -286,23 +329,7 @@ def context_scores(
     """
     size = _lexicon_size(lexicon)
     rows = _word_rows(texts, key, text, emoji_descriptions or {})
-    rows = _hits(rows, lexicon, size)
-    # For base rows everything below is null, which ends each lookup and each rule at once.
-    found = F.col("valence").isNotNull()
-    loud_near = found & F.col("mixed")
-    near_words = F.concat_ws(" ", *[F.lower(c) for c in ("w3", "w2", "w1", "word", "a1", "a2")])
-    rows = rows.select(
-        key, "emphasis", "mixed", "but", "at", "term", "valence",
-        F.when(found, near_words.rlike("|".join((*IDIOMS, *DAMPENER_PAIRS)))).alias("phrase"),
-        F.when(loud_near, _is_capitals(F.col("word"))).alias("caps"),
-        *[F.when(found, F.lower(f"w{s}")).alias(f"p{s}") for s in (1, 2, 3)],
-        *[F.when(loud_near, _is_capitals(F.col(f"w{s}"))).alias(f"caps{s}") for s in (1, 2, 3)],
-        *[F.when(found, F.lower(f"a{s}")).alias(f"n{s}") for s in (1, 2)],
-    )
-    rows = rows.withColumns({
-        f"{name}{s}": F.when(found, rule(F.col(f"p{s}")))
-        for s in (1, 2, 3) for name, rule in (("direction", _direction), ("negates", _is_negation))
-    })
+    rows = _with_near_words(_hits(rows, lexicon, size), key)
     for near in ("p1", "p2", "p3", "n1"):
         flags = lexicon.select(F.col("term").alias(near), F.lit(True).alias(f"{near}_known"))
         rows = lookup_join(rows, flags, [near], "left", known_rows=size)

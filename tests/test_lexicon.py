@@ -184,3 +184,14 @@ def test_only_sentiment_words_reach_the_rules(spark, lexicon):
     plan = lx.context_scores(df, lexicon)._jdf.queryExecution().optimizedPlan().toString()
     first = [line for line in plan.splitlines() if "Join" in line][-1]
     assert "Join Inner" in first
+
+
+def test_words_without_sentiment_take_no_neighbours_along(spark):
+    """Neighbours are read behind the join with the lexicon, and no text is split twice for a size filter."""
+    texts = spark.createDataFrame([(1, "a very good day"), (2, None)], "id long, texto string")
+    words = spark.createDataFrame([("good", 1.9)], "term string, valence double")
+    scores = lx.context_scores(texts, words)
+    plan = scores._jdf.queryExecution().optimizedPlan().toString()
+    generated = next(line for line in plan.splitlines() if "Generate" in line)
+    assert "arrays_zip" not in plan and "w1#" not in generated and "Filter ((size(" not in plan
+    assert {r["id"]: r["compound"] > 0 for r in scores.collect()} == {1: True, 2: False}
