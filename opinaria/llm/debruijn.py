@@ -4,7 +4,8 @@ Chosen k-mers of words (the least hash in each window) are the edges. Edges that
 only are dropped; where an edge is always followed by the same edge, and that one always preceded by
 it, the two belong to one path. A path occurs whole wherever one of its edges does, so the smallest
 document id of a path is the source of each window inside it. Windows that stick out of a path
-are compared by their words' hashes.
+are compared by their words' hashes. A walk around one edge, as a text makes that repeats a few words
+over and over, is one row, however long.
 """
 
 from __future__ import annotations
@@ -22,11 +23,15 @@ from opinaria.llm import windows as W
 from opinaria.llm.steps import written
 
 CUT = A.struct_type(n_words="long", n_removed="long", kept="string", kept_sha256="string")
-EDGES = "h long, next long, link long, _id long, ord int, at int, lo int, hi int"
+EDGES = "h long, next long, link long, _id long, ord int, at int, lo int, hi int, upto int"
 
 
 def edges(docs: DataFrame, window: int, k: int) -> DataFrame:
-    """One row per chosen k-mer: its hash h, the next chosen one, a hash of the words over both."""
+    """One row per chosen k-mer: its hash h, the next chosen one, a hash of the words over both.
+
+    Windows lo..hi chose it. Where it follows itself over equal windows, the first row stands for all
+    that go on to it once more, and ``upto`` is the last window of these; elsewhere it is hi.
+    """
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -44,12 +49,18 @@ def edges(docs: DataFrame, window: int, k: int) -> DataFrame:
                 first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
                 order = np.arange(len(doc)) - np.repeat(first, np.diff([*first, len(doc)]))
                 nexts = np.concatenate([got["key"][1:], [0]]).astype(np.uint64)
-                small = [(x - start).astype(np.int32) for x in (at, got["lo"], got["hi"])]
+                block = rolling.runs(got["lo"], got["hi"] + window)
+                again = ~last[1:] & ~last[:-1]
+                for x in (got["key"], link, block):
+                    again &= x[1:] == x[:-1]
+                one = np.flatnonzero(np.concatenate([[True], ~again]))
+                upto = got["hi"][np.concatenate([one[1:], [len(doc)]]) - 1]
+                small = [(x - start[one]).astype(np.int32) for x in (at[one], got["lo"][one], got["hi"][one], upto)]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(A.signed(got["key"])), pa.array(A.signed(nexts), mask=last),
-                    pa.array(A.signed(link), mask=last), pa.array(np.asarray(batch["_id"])[doc]),
-                    pa.array(order.astype(np.int32)), *map(pa.array, small),
-                ], names=["h", "next", "link", "_id", "ord", "at", "lo", "hi"])
+                    pa.array(A.signed(got["key"][one])), pa.array(A.signed(nexts[one]), mask=last[one]),
+                    pa.array(A.signed(link[one]), mask=last[one]), pa.array(np.asarray(batch["_id"])[doc[one]]),
+                    pa.array(order[one].astype(np.int32)), *map(pa.array, small),
+                ], names=["h", "next", "link", "_id", "ord", "at", "lo", "hi", "upto"])
 
     return docs.mapInArrow(chosen, EDGES)
 
@@ -75,27 +86,31 @@ def compact(occurrences: DataFrame) -> DataFrame:
 
 
 def paths(occurrences: DataFrame, k: int) -> DataFrame:
-    """(_id, head, start, end, lo, hi): each walk of a document along one path, in words."""
+    """(_id, head, start, end, lo, hi, upto): each walk of a document along one path, in words.
+
+    An edge that goes on to itself joins none, so a row that stands for several is a walk of its own.
+    """
     joins = written(compact(occurrences), "word-joins")
     marked = occurrences.join(joins.hint("merge"), "h", "left").select(
-        "_id", "ord", "h", "at", "lo", "hi", F.coalesce("joins", F.lit(False)).alias("joins"))
+        "_id", "ord", "h", "at", "lo", "hi", "upto", F.coalesce("joins", F.lit(False)).alias("joins"))
     by_place = Window.partitionBy("_id").orderBy("ord")
     begins = ~F.coalesce(F.lag("joins").over(by_place), F.lit(False))
     walks = marked.withColumn("walk", F.sum(begins.cast("int")).over(by_place))
     ends = walks.groupBy("_id", "walk").agg(
-        F.min(F.struct("ord", "h", "at", "lo")).alias("a"), F.max(F.struct("ord", "at", "hi")).alias("b"))
+        F.min(F.struct("ord", "h", "at", "lo")).alias("a"), F.max(F.struct("ord", "at", "hi", "upto")).alias("b"))
     return written(ends.select(
         "_id", F.col("a.h").alias("head"), F.col("a.at").alias("start"), (F.col("b.at") + k).alias("end"),
-        F.col("a.lo").alias("lo"), F.col("b.hi").alias("hi")), "word-paths")
+        F.col("a.lo").alias("lo"), F.col("b.hi").alias("hi"), F.col("b.upto").alias("upto")), "word-paths")
 
 
 def side_rows(docs: DataFrame, sides: DataFrame, window: int) -> DataFrame:
-    """(_id, key, block, lo, hi): for the windows lo..hi that stick out of a path, a hash of all their words.
+    """(_id, key, block, lo, upto): for the windows lo..hi that stick out of a path, a hash of all their words.
 
+    The windows from there to ``upto`` repeat them.
     Only texts with the same key can share any of them: the window next to the path for a side of a
     path that is itself a window long (near >= 0), and the path for a shorter one, which has one side.
     """
-    packed = sides.groupBy("_id").agg(F.collect_list(F.struct("lo", "hi", "near", "head")).alias("_sides"))
+    packed = sides.groupBy("_id").agg(F.collect_list(F.struct("lo", "hi", "near", "head", "upto")).alias("_sides"))
     joined = docs.join(packed.hint("shuffle_hash"), "_id").select("_id", "_text", "_sides")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,17 +121,17 @@ def side_rows(docs: DataFrame, sides: DataFrame, window: int) -> DataFrame:
                 lists = batch["_sides"]
                 counts = np.diff(np.asarray(lists.offsets))
                 flat = lists.flatten()
-                lo, hi, near, head = (np.asarray(flat.field(i)).astype(np.int64) for i in range(4))
+                lo, hi, near, head, upto = (np.asarray(flat.field(i)).astype(np.int64) for i in range(5))
                 start = np.repeat(A.starts_of(lengths), counts)
                 block = rolling.runs(start + lo, start + hi + window)
                 beside = start + np.where(near < 0, lo, near)
                 key = np.where(near < 0, head, A.signed(rolling.runs(beside, beside + window)))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.repeat(np.asarray(batch["_id"]), counts)), pa.array(key), pa.array(A.signed(block)),
-                    pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)),
-                ], names=["_id", "key", "block", "lo", "hi"])
+                    pa.array(lo.astype(np.int32)), pa.array(upto.astype(np.int32)),
+                ], names=["_id", "key", "block", "lo", "upto"])
 
-    return joined.mapInArrow(hashed, "_id long, key long, block long, lo int, hi int")
+    return joined.mapInArrow(hashed, "_id long, key long, block long, lo int, upto int")
 
 
 def repeated_ranges(docs: DataFrame, window: int = 50, k: int = 25) -> DataFrame:
@@ -126,23 +141,26 @@ def repeated_ranges(docs: DataFrame, window: int = 50, k: int = 25) -> DataFrame
     placed = found.join(source.hint("merge"), "head").filter(
         (F.col("_id") > F.col("src._id")) & (F.col("end") - F.col("start") == F.col("src.end") - F.col("src.start")))
     long_path = F.col("end") - F.col("start") >= window
-    inside = placed.filter(long_path).select("_id", F.col("start").alias("lo"), F.col("end").alias("hi"))
+    inside = placed.filter(long_path).select(
+        "_id", F.col("start").alias("lo"), (F.col("end") + F.col("upto") - F.col("hi")).alias("hi"))
     # Windows lo..hi chose an edge of the path; those from start to end - window lie inside it.
     none = F.lit(-1).alias("near")
-    left = F.struct(F.col("lo").alias("lo"), F.least(F.col("start") - 1, F.col("hi")).alias("hi"),
-                    (F.col("start") - 1).alias("near"))
+    left_hi = F.least(F.col("start") - 1, F.col("hi"))
+    left = F.struct(F.col("lo").alias("lo"), left_hi.alias("hi"), (F.col("start") - 1).alias("near"),
+                    left_hi.alias("upto"))
     right = F.struct(F.greatest(F.col("end") - window + 1, F.col("lo")).alias("lo"), F.col("hi").alias("hi"),
-                     (F.col("end") - window + 1).alias("near"))
-    around = F.struct(F.col("lo").alias("lo"), F.col("hi").alias("hi"), none)
+                     (F.col("end") - window + 1).alias("near"), F.col("hi").alias("upto"))
+    around = F.struct(F.col("lo").alias("lo"), F.col("hi").alias("hi"), none, F.col("upto").alias("upto"))
     sides = found.select("_id", "head", F.inline(F.when(long_path, F.array(left, right)).otherwise(
         F.array(around)))).filter("lo <= hi")
     rows = written(side_rows(docs, sides, window), "word-sides")
     classes = written(rows.groupBy("key", "block").agg(F.min("_id").alias("first")), "word-classes")
     several = classes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     classed = rows.join(classes.hint("merge"), ["key", "block"])
-    settled = classed.filter("_id > first").select("_id", "lo", (F.col("hi") + window).alias("hi"))
+    settled = classed.filter("_id > first").select("_id", "lo", (F.col("upto") + window).alias("hi"))
     # What the smallest id of a class has is compared with other classes window by window.
-    open_rows = classed.filter("_id = first").join(several.hint("merge"), "key").select("_id", "lo", "hi").distinct()
+    open_rows = classed.filter("_id = first").join(several.hint("merge"), "key").select(
+        "_id", "lo", F.col("upto").alias("hi")).distinct()
     windows = written(W.window_rows(docs, open_rows, window, by_word=True), "word-windows")
     first = windows.groupBy("d1", "d2").agg(F.min("_id").alias("a"), F.max("_id").alias("b")).filter("a < b")
     equal = windows.join(first.hint("merge"), ["d1", "d2"]).filter("_id > a")

@@ -7,9 +7,11 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from opinaria.llm import arrays as A
 from opinaria.llm import debruijn, suffixes
+from opinaria.llm import windows as W
 
 
 def brute(docs, split, window, by_place):
@@ -105,3 +107,36 @@ def test_choose_depends_on_the_window_alone(docs, k, more):
 def test_merged():
     lo, hi = A.merged(np.array([5, 0, 20, 3, 8]), np.array([8, 4, 30, 5, 9]))
     assert (lo.tolist(), hi.tolist()) == ([0, 20], [9, 30])
+
+
+def periodic_texts(seed):
+    """Texts that repeat a line of a few words, alone, cut off, behind and before others, and in several phases."""
+    rnd = random.Random(seed)
+    rows = []
+    for i in range(60):
+        line = [f"p{rnd.randrange(3)}w{k}" for k in range(rnd.choice((1, 2, 2, 2, 7, 26, 30)))]
+        run = (line * 200)[rnd.randrange(len(line)) :][: rnd.choice((49, 50, 51, 77, 130, 300))]
+        before, after = ([f"{side}{rnd.randrange(9)}" for _ in range(rnd.choice((0, 3, 60)))] for side in "ba")
+        rows.append((i, " ".join([*before, *run, *after, *(run if i % 7 == 0 else [])])))
+    return rows
+
+
+@pytest.mark.parametrize("window,k", [(50, 25), (50, 50), (12, 5)])
+def test_texts_that_repeat_a_line_like_brute_force(texts, window, k):
+    rows = periodic_texts(window + k)
+    gone = brute(rows, lambda t: t.split(), window, False)
+    got = {r["row"]["doc_id"]: r["cut"] for r in debruijn.remove_repeated_words(
+        texts(rows), window=window, k=k).collect()}
+    for doc, text in rows:
+        kept = " ".join(w for i, w in enumerate(text.split()) if i not in gone.get(doc, ()))
+        assert (got[doc]["n_removed"], got[doc]["kept"]) == (len(gone.get(doc, ())), kept)
+
+
+def test_a_repeated_line_makes_rows_per_text_not_per_repeat(texts, monkeypatch):
+    tables = {}
+    keep = debruijn.written
+    monkeypatch.setattr(debruijn, "written", lambda df, name: tables.setdefault(name, keep(df, name)))
+    docs = W.keyed(texts([(i, "the same " * (200 + i)) for i in range(20)]), "doc_id", "text")
+    ranges = debruijn.repeated_ranges(docs).groupBy("_id").agg(F.min("lo"), F.max("hi")).collect()
+    assert sorted(map(tuple, ranges)) == [(i, 0, 2 * (200 + i)) for i in range(1, 20)]
+    assert tables["word-edges"].count() <= 4 * 20 and tables["word-sides"].count() <= 4 * 20
