@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -39,6 +40,8 @@ _ODD = r"[\x{1c}-\x{1f}\x{85}\x{180e}\x{200b}\x{feff}]"
 _INNER = re.compile(r"(?<=\S) (?=\S)")
 _SPACE = r"[\s\v\p{Z}]"
 _DOUBLE = f"{_SPACE}{_SPACE}|^{_SPACE}|{_SPACE}$"
+# Characters whose kind no version of Unicode changes: the library splits words of them as the pattern above does.
+_SETTLED = re.compile("[\\0-\u024f\u0400-\u0481\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*")
 KEPT = "token files"
 _encoders: dict[str, PieceEncoder] = A.kept(KEPT)
 
@@ -52,11 +55,29 @@ def split_piece(piece: str) -> Sequence[str]:
     return _WORDS.findall(piece)
 
 
+def byte_letters() -> dict[int, str]:
+    """Fixed value: the published letter of each byte in a byte-level vocabulary."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
+    return {b: chr(hidden.get(b, b)) for b in range(256)}
+
+
+_LETTERS = byte_letters()
+
+
+def spelled(word: str) -> str:
+    """The letters of a word's UTF-8 bytes; those of ASCII that can be seen stand for themselves."""
+    if word.isascii() and word.isprintable():
+        return word.replace(" ", _LETTERS[32])
+    return word.encode().decode("latin-1").translate(_LETTERS)
+
+
 class PieceEncoder:
     """Ids of texts by the tokenizers library, asked once for each distinct word of its byte-level split.
 
     No token crosses a single space between two other characters to the left, nor the borders of
-    the split below, so a text's ids are those of its words one after another.
+    the split below, so a text's ids are those of its words one after another. The library's model is
+    asked for a word itself where both are sure to split alike, the whole library for others.
     """
 
     def __init__(self, path: str):
@@ -66,6 +87,7 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.known: dict[str, bytes] = {}
+        self.model = self.tokenizer.model if self.tokenizer.normalizer is None else None
         (self.line_break,) = np.frombuffer(self.ids("\n"), dtype="<u4").tolist()
 
     def ids(self, text: str) -> bytes:
@@ -73,8 +95,14 @@ class PieceEncoder:
         return np.array(made.ids, dtype="<u4").tobytes()
 
     def learn(self, words: set[str]) -> None:
-        """Ask for words; those that are not white space go in one text, a line break after each."""
-        plain = [w for w in words if not w.isspace()]
+        """Ask for words; of those for the whole library all but white space go in one text, a line break after each."""
+        if self.model is not None:
+            ask = self.model.tokenize
+            for word in words:
+                if _SETTLED.fullmatch(word):
+                    ids = [token.id for token in ask(spelled(word))]
+                    self.known[word] = struct.pack(f"<{len(ids)}I", *ids)
+        plain = [w for w in words if w not in self.known and not w.isspace()]
         for a in range(0, len(plain), 2_000):
             part = plain[a : a + 2_000]
             got = self.ids("".join([f"{w}\n" for w in part]))

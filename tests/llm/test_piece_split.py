@@ -2,6 +2,8 @@
 
 import public_tokenizers
 import pyarrow as pa
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from test_operators import BYTES
 
 from opinaria.llm import arrays as A
@@ -11,6 +13,9 @@ ODD = ("", " ", "a", " a", "a,", ",", " ,", " a,", "don't", " don't", "'s", " 's
        "ª", " ʰa", "日本", "日本。", "a\nb", "a\n", "\n", "\t\n", "ab.\nCd", "x́y", "ⅷ", " ab$$$", "ß?", "İ", "a　b", "　")
 
 
+CODER = token_files.PieceEncoder(BYTES)
+
+
 def test_split_equals_the_pattern():
     for piece in ODD:
         assert list(token_files.split_piece(piece)) == token_files._WORDS.findall(piece), repr(piece)
@@ -25,6 +30,23 @@ def test_ids_equal_the_library_also_after_a_cut_of_what_is_remembered(monkeypatc
         assert got == [coder.ids(t) for t in texts]
 
 
+def test_words_of_settled_characters_go_to_the_model_and_others_to_the_library(monkeypatch):
+    coder = token_files.PieceEncoder(BYTES)
+    plain = ["The words, été ÀÇ ñandú 日本語 привет가! don't 12", "a\nb\tc \x01 ~{}", "x" * 300]
+    expected = [coder.ids(t) for t in plain]
+    asked, ids = [], coder.ids
+    monkeypatch.setattr(coder, "ids", lambda text: asked.append(text) or ids(text))
+    assert coder.encode(pa.array(plain)) == expected and not asked
+    other = ["ab x\u0301y \U0002ebf0z", "\u0c5dq \u1c89r"]
+    assert coder.encode(pa.array(other)) == [ids(t) for t in other] and asked
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from(" \n\t\xa0abTsé'ßıǅɏ09.,!$_ªþ日가жЁЯあア\u0301\x7f\x00\xad")), max_size=4))
+def test_ids_of_mixed_characters_equal_the_library(texts):
+    assert CODER.encode(pa.array(texts, pa.string())) == [CODER.ids(t) for t in texts]
+
+
 def test_other_operators_tables_are_given_back():
     """What an encoder remembers must not stay in a worker that goes on to another operator."""
     path = public_tokenizers.path(queries.PIECES)
