@@ -6,7 +6,7 @@ All of them work on slices of bounded size, so that a task's memory does not fol
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +54,19 @@ def give_back(own: str = "") -> None:
         trim(0)
 
 
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], own: str = "") -> Callable:
+    """The function of a task; before and behind it a worker keeps no more than the table under the name ``own``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back(own)
+        try:
+            yield from work(batches)
+        finally:
+            give_back(own)
+
+    return run
+
+
 def mix(values: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values whose high bits depend on all bits."""
     values = values ^ (values >> np.uint64(33))

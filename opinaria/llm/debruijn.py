@@ -62,7 +62,7 @@ def edges(docs: DataFrame, window: int, k: int) -> DataFrame:
                     pa.array(order[one].astype(np.int32)), *map(pa.array, small),
                 ], names=["h", "next", "link", "_id", "ord", "at", "lo", "hi", "upto"])
 
-    return docs.mapInArrow(chosen, EDGES)
+    return docs.mapInArrow(A.tidy(chosen), EDGES)
 
 
 def repeated_edges(docs: DataFrame, window: int, k: int) -> DataFrame:
@@ -131,7 +131,7 @@ def side_rows(docs: DataFrame, sides: DataFrame, window: int) -> DataFrame:
                     pa.array(lo.astype(np.int32)), pa.array(upto.astype(np.int32)),
                 ], names=["_id", "key", "block", "lo", "upto"])
 
-    return joined.mapInArrow(hashed, "_id long, key long, block long, lo int, upto int")
+    return joined.mapInArrow(A.tidy(hashed), "_id long, key long, block long, lo int, upto int")
 
 
 def repeated_ranges(docs: DataFrame, window: int = 50, k: int = 25) -> DataFrame:

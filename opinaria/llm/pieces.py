@@ -98,6 +98,10 @@ class PrefixTable:
         self.pairs: dict[tuple[str, str], bool] = {}
         self.known: dict[str, tuple[int, str, str]] = {}
 
+    def forget(self) -> None:
+        """Drop what texts have left; the model's own tables stay."""
+        self.known, self.pairs = {}, {}
+
     def merged(self, text: str) -> list[str]:
         """Merging by rank, leftmost first among equals: the definition which the table rests on."""
         parts: list[str | None] = list(text)
@@ -259,7 +263,6 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     """(_id, n_tokens, ids_sha256, decoded_sha256): the strings are digested where they are made."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        A.give_back(KEPT)
         table = model(path)
         for batch in (part for whole in batches for part in A.slices(whole, "_text", 4 * A.SLICE_BYTES)):
             n, ids, back = [], [], []
@@ -270,9 +273,10 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays(
                 [batch["_id"], pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())],
                 names=["_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        table.forget()
 
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return rows.mapInArrow(hashed, "_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(A.tidy(hashed, KEPT), "_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def query(docs: DataFrame, path: str) -> DataFrame:

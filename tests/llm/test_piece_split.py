@@ -55,3 +55,42 @@ def test_other_operators_tables_are_given_back():
     assert pieces.model(path).known
     A.give_back()
     assert not A.kept(pieces.KEPT) and not pieces.model(path).known
+
+
+def test_a_worker_behind_a_task_keeps_the_model_alone(spark):
+    """Idle workers that kept words and free memory pushed an executor over its limit in the next job."""
+    path = public_tokenizers.path(queries.PIECES)
+    table = pieces.model(path)
+
+    class Docs:
+        schema = "ignored"
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, function, _):
+            self.function = function
+            return self
+
+    A.kept("another")["x"] = 1
+    docs = Docs()
+    pieces.digests(docs, path)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["one two", None])], names=["_id", "_text"])
+    (made,) = docs.function(iter([batch]))
+    assert made["n_tokens"].to_pylist()[1] == 0
+    assert pieces.model(path) is table and table.rank and not table.known and not table.pairs
+    assert not A.kept("another")
+
+
+def test_tidy_gives_back_behind_the_last_batch_and_on_failure():
+    def work(batches):
+        for x in batches:
+            A.kept("worked")[x] = x
+            yield 1 // x
+
+    for batches, error in (([1, 2], None), ([1, 0], ZeroDivisionError)):
+        try:
+            assert list(A.tidy(work)(iter(batches))) == [1, 0]
+        except ZeroDivisionError as got:
+            assert error is type(got)
+        assert not A.kept("worked")
