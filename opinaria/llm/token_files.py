@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import os
 import re
-import struct
+from array import array
 from collections.abc import Iterator, Sequence
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from opinaria.llm import planes as P
 from opinaria.sources.scratch import new_path
 
 BLOCK, CHUNK, END = 65_536, 1_000_000, 2
-# Distinct pieces between spaces, words among them, whose ids a worker remembers at most; beyond it, it starts anew.
+# Distinct pieces between spaces whose ids a worker remembers at most; beyond it, it starts anew from its last texts' pieces.
 REMEMBERED = 700_000
 CHUNKS = (
     "shard int, chunk int, start_in_shard long, n_ids long, kind string, doc_ids array<long>, "
@@ -42,6 +43,9 @@ _SPACE = r"[\s\v\p{Z}]"
 _DOUBLE = f"{_SPACE}{_SPACE}|^{_SPACE}|{_SPACE}$"
 # Characters whose kind no version of Unicode changes: the library splits words of them as the pattern above does.
 _SETTLED = re.compile("[\\0-\u024f\u0400-\u0481\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*")
+# Stand for two bytes that UTF-8 never has.
+PIECE_END, WORD_END = "\udcff", "\udcfe"
+ASKED_AT_ONCE = 64
 KEPT = "token files"
 _encoders: dict[str, PieceEncoder] = A.kept(KEPT)
 
@@ -63,21 +67,16 @@ def byte_letters() -> dict[int, str]:
 
 
 _LETTERS = byte_letters()
-
-
-def spelled(word: str) -> str:
-    """The letters of a word's UTF-8 bytes; those of ASCII that can be seen stand for themselves."""
-    if word.isascii() and word.isprintable():
-        return word.replace(" ", _LETTERS[32])
-    return word.encode().decode("latin-1").translate(_LETTERS)
+_ID = attrgetter("id")
 
 
 class PieceEncoder:
     """Ids of texts by the tokenizers library, asked once for each distinct word of its byte-level split.
 
     No token crosses a single space between two other characters to the left, nor the borders of
-    the split below, so a text's ids are those of its words one after another. The library's model is
-    asked for a word itself where both are sure to split alike, the whole library for others.
+    the split below, so a text's ids are those of its words one after another. Where the library is
+    sure to split alike, its model gets the words split already, many pieces in one call; the whole
+    library is asked for others.
     """
 
     def __init__(self, path: str):
@@ -87,48 +86,53 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.known: dict[str, bytes] = {}
-        self.model = self.tokenizer.model if self.tokenizer.normalizer is None else None
         (self.line_break,) = np.frombuffer(self.ids("\n"), dtype="<u4").tolist()
+        # Letters of bytes that UTF-8 never has are in no other token, so that the model merges nothing across them.
+        self.ends = [self.tokenizer.token_to_id(_LETTERS[e.encode("utf-8", "surrogateescape")[0]]) for e in (PIECE_END, WORD_END)]
+        alone = None not in self.ends and not any(
+            len(t) > 1 and not {_LETTERS[254], _LETTERS[255]}.isdisjoint(t) for t in self.tokenizer.get_vocab(with_added_tokens=False))
+        self.model = self.tokenizer.model if alone and self.tokenizer.normalizer is None else None
 
     def ids(self, text: str) -> bytes:
         (made,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
         return np.array(made.ids, dtype="<u4").tobytes()
 
     def learn(self, words: set[str]) -> None:
-        """Ask for words; of those for the whole library all but white space go in one text, a line break after each."""
-        if self.model is not None:
-            ask = self.model.tokenize
-            for word in words:
-                if _SETTLED.fullmatch(word):
-                    ids = [token.id for token in ask(spelled(word))]
-                    self.known[word] = struct.pack(f"<{len(ids)}I", *ids)
-        plain = [w for w in words if w not in self.known and not w.isspace()]
+        """Ask the whole library for words; all but white space go in one text, a line break after each."""
+        plain = [w for w in words if not w.isspace()]
         for a in range(0, len(plain), 2_000):
             part = plain[a : a + 2_000]
-            got = self.ids("".join([f"{w}\n" for w in part]))
-            cuts = 4 * np.flatnonzero(np.frombuffer(got, dtype="<u4") == self.line_break)
-            if len(cuts) == len(part):
-                begins = [0, *(cuts[:-1] + 4).tolist()]
-                self.known.update({w: got[x:y] for w, x, y in zip(part, begins, cuts.tolist(), strict=True)})
+            self.keep(part, self.ids("".join([f"{w}\n" for w in part])), self.line_break)
         for word in words:
             if word not in self.known:
                 self.known[word] = self.ids(word)
 
+    def learn_settled(self, pieces: list[str]) -> None:
+        """Ask the model for pieces of settled characters, many at once, with an end behind each and one between words."""
+        ids, ask, piece_end, word_end = array("I"), self.model.tokenize, *self.ends
+        for a in range(0, len(pieces), ASKED_AT_ONCE):
+            text = "".join([f"{WORD_END.join(split_piece(p))}{PIECE_END}" for p in pieces[a : a + ASKED_AT_ONCE]])
+            ids.extend(map(_ID, ask(text.encode("utf-8", "surrogateescape").decode("latin-1").translate(_LETTERS))))
+        got = np.array(ids, dtype="<u4")
+        self.keep(pieces, got[got != word_end].tobytes(), piece_end)
+
+    def keep(self, asked: list[str], got: bytes, end: int) -> None:
+        """Remember the ids between the ends, if there are as many ends as were asked."""
+        cuts = 4 * np.flatnonzero(np.frombuffer(got, dtype="<u4") == end)
+        if len(cuts) == len(asked) > 0:
+            begins = [0, *(cuts[:-1] + 4).tolist()]
+            self.known.update({w: got[x:y] for w, x, y in zip(asked, begins, cuts.tolist(), strict=True)})
+
     def pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces, each with the space before it if it has one; a word is a piece of one word."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known = self.known
-        words, split = set(), {}
-        for piece in pieces:
-            if piece not in known:
-                parts = split_piece(piece)
-                if len(parts) == 1:
-                    words.add(piece)
-                else:
-                    split[piece] = parts
-                    words.update(parts)
-        self.learn({w for w in words if w not in known} if known else words)
+        new = list(dict.fromkeys([p for p, ids in zip(pieces, map(known.get, pieces), strict=True) if ids is None]))
+        if self.model is not None:
+            self.learn_settled([p for p in new if p and (p.isascii() or _SETTLED.fullmatch(p))])
+        split = {p: split_piece(p) for p in new if p not in known}
+        self.learn({w for parts in split.values() for w in parts if w not in known})
         known.update({piece: b"".join([known[w] for w in parts]) for piece, parts in split.items()})
         return [known[p] for p in pieces]
 
@@ -152,8 +156,11 @@ class PieceEncoder:
         if not plain:
             return out
         coded = lists.flatten().dictionary_encode()
+        names = pc.binary_join_element_wise("", coded.dictionary, " ").to_pylist()
         firsts = self.pieces([rows[i].split(" ", 1)[0] for i in plain])
-        known = self.pieces([f" {p}" for p in coded.dictionary.to_pylist()])
+        known = self.pieces(names)
+        if len(self.known) > REMEMBERED:
+            self.known = dict(zip(names, known, strict=True))
         # All ids lie one after another in the taken array; a text's own are behind its first piece's.
         taken = pa.array(known, pa.large_binary()).take(coded.indices)
         _, at, data = taken.buffers()
@@ -213,7 +220,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
 
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     ordered = rows.repartitionByRange("_id").sortWithinPartitions("_id")
-    ordered.mapInArrow(encoded, CHUNKS).write.option("compression", "uncompressed").parquet(path)
+    ordered.mapInArrow(A.tidy(encoded, KEPT), CHUNKS).write.option("compression", "uncompressed").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

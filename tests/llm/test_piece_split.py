@@ -57,6 +57,48 @@ def test_other_operators_tables_are_given_back():
     assert not A.kept(pieces.KEPT) and not pieces.model(path).known
 
 
+class Counting:
+    """A model that counts what it is asked."""
+
+    def __init__(self, model):
+        self.model, self.asked = model, 0
+
+    def tokenize(self, text):
+        self.asked += 1
+        return self.model.tokenize(text)
+
+
+def test_many_pieces_go_to_the_model_at_once():
+    """One call a word was most of the encoding's time; the words of a piece are kept apart all the same."""
+    coder = token_files.PieceEncoder(BYTES)
+    coder.model = Counting(coder.model)
+    text = " ".join(f"{a}{b}'re.{b}é" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz")
+    assert coder.encode(pa.array([text])) == [coder.ids(text)]
+    assert coder.model.asked <= 676 // token_files.ASKED_AT_ONCE + 3
+
+
+def test_what_the_last_texts_used_stays_behind_a_cut(monkeypatch):
+    monkeypatch.setattr(token_files, "REMEMBERED", 3)
+    coder = token_files.PieceEncoder(BYTES)
+    coder.encode(pa.array(["x one two"]))
+    coder.encode(pa.array(["x two three four"]))
+    assert set(coder.known) == {" x", " two", " three", " four"}
+
+
+def test_a_vocabulary_that_merges_the_letters_of_ends_is_left_to_the_library(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    letters = list(token_files.byte_letters().values())
+    model = models.BPE({t: i for i, t in enumerate([*letters, "aþ", "ab"])}, [("a", "þ"), ("a", "b")])
+    made = Tokenizer(model)
+    made.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    made.save(str(tmp_path / "small.json"))
+    coder = token_files.PieceEncoder(str(tmp_path / "small.json"))
+    assert coder.model is None
+    texts = ["ab, ab", "a b ab\nab", "Þ þ ÿ"]
+    assert coder.encode(pa.array(texts)) == [coder.ids(t) for t in texts]
+
+
 def test_a_worker_behind_a_task_keeps_the_model_alone(spark):
     """Idle workers that kept words and free memory pushed an executor over its limit in the next job."""
     path = public_tokenizers.path(queries.PIECES)
